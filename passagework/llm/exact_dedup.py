@@ -116,6 +116,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents that stay, one of each group of equal texts, with all their columns."""
     stay = decide(docs, keep).where("kept").select(F.col("digest").alias("_digest"), F.col("id").alias("_id"))
-    rows = docs.withColumn("_key", digest_of(whole("text")))
-    on = (F.col("_key") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return rows.join(stay, on, "left_semi").dropDuplicates(["_key", "doc_id"]).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), digest_of(whole("text")).alias("_key"), F.col("doc_id").alias("_doc"))
+    on = (F.col("_key") == F.col("_digest")) & F.col("_doc").eqNullSafe(F.col("_id"))
+    return rows.join(stay, on, "left_semi").dropDuplicates(["_key", "_doc"]).select("_row.*")

@@ -98,10 +98,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     plan = schedule(docs, weights, share, max_repeats).select("doc_id", "source", F.col("size").alias("_size"), F.col("text_hash").alias("_hash"), "taken")
     copies = F.when(F.col("_size") > 0, F.floor(F.col("taken") / F.col("_size") + 0.5)).otherwise(0)
     plan = plan.groupBy(*key).agg(F.sum(copies).cast("long").alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.withColumn("_size", n_words("text")).withColumn("_hash", F.xxhash64(whole("text")))
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "source", n_words("text").alias("_size"), F.xxhash64(whole("text")).alias("_hash")
+    )
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
     plan = plan.select(*(F.col(c).alias(f"_p{c}") for c in key), "_copies", "_rows")
     on = [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in key]
     rows = rows.withColumn("_nth", nth).join(plan, on)
-    share_of = F.floor(F.col("_nth") * F.col("_copies") / F.col("_rows")) - F.floor((F.col("_nth") - 1) * F.col("_copies") / F.col("_rows"))
-    return rows.withColumn("_n", share_of).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    upto = lambda n: F.floor(n * F.col("_copies") / F.col("_rows"))
+    rows = rows.withColumn("_n", upto(F.col("_nth")) - upto(F.col("_nth") - 1)).where("_n > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

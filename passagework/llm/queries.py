@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, quality, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_read(spark, sf_dir, "documents"))
 
@@ -56,7 +64,7 @@ FROM queued
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rendezvous_sharding, op7_fair_queue_mixing, op10_lsm_exact_dedup)
+    f.__name__: f for f in (op1_rendezvous_sharding, op2_simhash_pivots, op3_compression_quality, op7_fair_queue_mixing, op10_lsm_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_fair_queue_mixing": OP7_SQL, "op10_lsm_exact_dedup": OP10_SQL}
