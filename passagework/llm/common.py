@@ -61,9 +61,9 @@ def n_words(text: str | Column) -> Column:
     return F.regexp_count(whole(text), F.lit(WORD)).cast("long")
 
 
-def buckets_for(rows: int, per_bucket: int = 50_000) -> int:
-    """The number of hex digits whose values split this many hashed rows into buckets of about per_bucket at most."""
-    return max(1, math.ceil(math.log(max(1, rows / per_bucket), 16)))
+def buckets_for(rows: int) -> int:
+    """How many hex digits of a digest to bucket hashed rows by: about as many buckets as a bucket has rows."""
+    return max(1, round(math.log(max(1, rows), 16) / 2))
 
 
 def running_total(rows: DataFrame, groups: Sequence[str], bucket: str, order: Sequence[Column], value: Column, out: str) -> DataFrame:
