@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, pii, quality, sharding, simhash
+from . import exact_dedup, mixing, packing, pii, quality, sharding, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
 
+def op9_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_read(spark, sf_dir, "pages"))
+
+
 def op10_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ FROM queued
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rendezvous_sharding, op2_simhash_pivots, op3_compression_quality, op5_pii_spans, op7_fair_queue_mixing, op8_vector_best_fit, op10_lsm_exact_dedup)
+    f.__name__: f for f in (op1_rendezvous_sharding, op2_simhash_pivots, op3_compression_quality, op5_pii_spans, op7_fair_queue_mixing, op8_vector_best_fit, op9_path_templates, op10_lsm_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_fair_queue_mixing": OP7_SQL, "op10_lsm_exact_dedup": OP10_SQL}
