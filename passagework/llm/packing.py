@@ -17,27 +17,29 @@ Ties of length go by doc_id, piece and row. Empty tables give empty results. Fur
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .simhash import _word_blocks
+from .simhash import TEXT_BLOCK, _word_blocks
 
 SEQUENCE, CLOSING = 4096, 1
 #: What a sequence may hold, and how much an unused share of each capacity weighs in the residual norm.
 MAX_DOCS, MAX_COST = SEQUENCE, SEQUENCE * SEQUENCE
 WEIGHTS = (1.0, 0.01, 0.01)
 GROUP_TOKENS = 16_000_000
-#: Words whose ids a worker remembers, and their longest in bytes; the rest is tokenised each time.
-CACHED_WORDS, LONGEST_CACHED = 500_000, 64
+#: Words whose ids a worker remembers before it starts afresh, and the longest that isn't left to the whole tokenizer.
+CACHED_WORDS, LONGEST_PLAIN = 1_000_000, 64
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -48,34 +50,101 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordCoder:
+    """The ids of white-space separated words as little-endian unsigned 32-bit numbers, through a bounded memory.
+
+    Words of letters, perhaps with punctuation after them, are most of a text. Their letters go through the vocabulary's
+    merges many at a time, parted by spaces; anything else goes through the whole tokenizer.
+    """
+
+    PUNCTUATION = b".,;:!?%#$&*|"
+    #: Letters that every normalisation form leaves alone and whose lower case is one letter.
+    PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        found = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        found = np.array(self.merges.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        data, cuts = found.tobytes(), (4 * np.flatnonzero(self.ends[found]) + 4).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _core(self, word: bytes) -> bytes | None:
+        """The lower-cased letters of a word that is letters and then punctuation; None for others."""
+        core = word.rstrip(self.PUNCTUATION)
+        if core.isalpha() and len(core) <= LONGEST_PLAIN:  # ASCII
+            return core.lower()
+        text = core.decode("utf-8", "replace") if len(core) <= LONGEST_PLAIN else ""
+        return text.lower().encode() if self.PLAIN.fullmatch(text) else None
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Make sure that these words are known."""
+        known = self.known
+        new = set(words).difference(known)
+        if not new:
+            return
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = set(words)
+        cores = dict(zip(new, map(self._core, new)))
+        rest = [word for word, core in cores.items() if core is None]
+        known.update(zip(rest, self._each(rest)))
+        plain, letters = list({core for core in cores.values() if core is not None}), {}
+        for i in range(0, len(plain), 4096):
+            letters.update(zip(plain[i : i + 4096], self._letters(plain[i : i + 4096])))
+        tails = self.tails
+        for word, core in cores.items():
+            if core is not None:
+                tail = word[len(core) :]
+                if not tail:
+                    known[word] = letters[core]
+                elif tail in tails:
+                    known[word] = letters[core] + tails[tail]
+                else:
+                    known[word] = letters[core] + self._each([tail])[0]
+                    if len(tails) < 1000:
+                        tails[tail] = self._each([tail])[0]
+
+    def encode(self, words: list[bytes]) -> bytes:
+        """The ids of words that have been learnt."""
+        return b"".join(map(self.known.__getitem__, words))
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Callable[[list[bytes]], bytes]:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
-
-    def encode(words: list[bytes]) -> bytes:
-        """The words' ids as little-endian unsigned 32-bit numbers."""
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(new, found)}
-        if len(known) + len(ids) <= CACHED_WORDS:
-            known.update((w, i) for w, i in ids.items() if len(w) <= LONGEST_CACHED)
-        return b"".join([ids[w] if w in ids else known[w] for w in words])
-
-    return encode
-
-
-def pieces_of(text: str | None, encode: Callable[[list[bytes]], bytes], size: int = SEQUENCE) -> Iterator[tuple[int, int, int, int]]:
-    """(piece, start, length, crc32 of the ids) of a document."""
+def _coder(path: str) -> WordCoder:
+    return WordCoder(path)
+
+
+def _together(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """Texts as bytes, a block's worth at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "replace"))
+        size += len(held[-1])
+        if size > TEXT_BLOCK:
+            yield held
+            held, size = [], 0
+    yield held
+
+
+def pieces_of(blocks: Iterable[list[bytes]], coder: WordCoder, size: int = SEQUENCE) -> Iterator[tuple[int, int, int, int]]:
+    """(piece, start, length, crc32 of the ids) of a document, given as blocks of words."""
     width, held, piece = 4 * size, b"", 0
-    for words in _word_blocks((text or "").encode("utf-8", "replace")):
-        held += encode(words)
+    for words in blocks:
+        held += coder.encode(words)
         while len(held) > width:  # an equal length may be the last piece
             yield piece, piece * size, size, zlib.crc32(held[:width])
             held, piece = held[width:], piece + 1
@@ -86,15 +155,34 @@ def pieces_of(text: str | None, encode: Callable[[list[bytes]], bytes], size: in
     yield piece, piece * size, len(held) // 4, zlib.crc32(held)
 
 
+def _learnt(blocks: Iterable[list[bytes]], coder: WordCoder) -> Iterator[list[bytes]]:
+    for words in blocks:
+        coder.learn(words)
+        yield words
+
+
 def tokenised(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of all pieces of all documents."""
 
+    def rows_of(texts: list[str | None], coder: WordCoder) -> Iterator[tuple]:
+        number = 0
+        for some in _together(texts):
+            if sum(map(len, some)) > 2 * TEXT_BLOCK:  # a very long text among them
+                blocks = [_learnt(_word_blocks(t), coder) for t in some]
+            else:
+                blocks = [[t.split()] for t in some]
+                coder.learn([w for (words,) in blocks for w in words])
+            for block in blocks:
+                yield from ((number, *p) for p in pieces_of(block, coder, size))
+                number += 1
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path or tokenizer_path())
+        coder = _coder(path or tokenizer_path())
         for batch in batches:
-            rows = [(i, *p) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in pieces_of(text, encode, size)]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, rows = batch.column(0), list(rows_of(batch.column(1).to_pylist(), coder))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            columns = [ids.take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE)
 
