@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, mixing, packing, pii, quality, sharding, simhash, url_filter
+from . import exact_dedup, fingerprints, html_text, mixing, packing, pii, quality, sharding, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_read(spark, sf_dir, "pages"))
+
+
 def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_read(spark, sf_dir, "documents"))
 
@@ -80,7 +84,11 @@ FROM queued
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rendezvous_sharding, op2_simhash_pivots, op3_compression_quality, op5_pii_spans, op6_consistent_sampling, op7_fair_queue_mixing, op8_vector_best_fit, op9_path_templates, op10_lsm_exact_dedup)
-}
+    f.__name__: f
+    for f in (
+        op1_rendezvous_sharding, op2_simhash_pivots, op3_compression_quality, op4_html_crf, op5_pii_spans, op6_consistent_sampling, op7_fair_queue_mixing,
+        op8_vector_best_fit, op9_path_templates, op10_lsm_exact_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op7_fair_queue_mixing": OP7_SQL, "op10_lsm_exact_dedup": OP10_SQL}
