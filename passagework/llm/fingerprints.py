@@ -76,11 +76,16 @@ def signatures(segments: DataFrame, keys: list[str], slice_: str) -> DataFrame:
     weighed = weighed.select(slice_, *keys, "_term", F.explode(drawn).alias("_d"))
     owner = F.struct(*keys, F.col("_d.in").alias("_in"))
     shared = weighed.groupBy(slice_, "_term", F.col("_d.n").alias("_w")).agg(F.collect_list(owner).alias("_owners"))
-    shared = shared.select("*", F.explode(F.array(*(F.lit(p) for p in range(SAMPLES // AT_ONCE)))).alias("_part"))
-    # sorting by a comparator keeps this projection out of whole-stage code, where its samples would make one method
-    # too long for the JIT; on its own it is generated in methods of a fitting size
-    samples = [F.when(F.col("_term").isNotNull(), _sample(F.col("_term"), F.col("_part"), k, F.ln(F.col("_w").cast("double")))).alias(f"_{k}") for k in range(AT_ONCE)]
-    drawn = shared.select(slice_, "_part", F.array_sort("_owners").alias("_owners"), *samples)
+    # null for the blank word, which so has no sample; a column of its own, as samples within a condition would share none
+    # of their subexpressions
+    log_weight = F.when(F.col("_term").isNotNull(), F.ln(F.col("_w").cast("double")))
+    parts = F.explode(F.array(*(F.lit(p) for p in range(SAMPLES // AT_ONCE))))
+    shared = shared.select(slice_, "_term", "_owners", log_weight.alias("_log")).select("*", parts.alias("_part"))
+    # a lambda keeps this projection out of whole-stage code, where its samples would make one method too long for the
+    # JIT; on its own it is generated in methods of a fitting size
+    part = F.transform(F.array("_part"), lambda p: p)[0]
+    samples = [_sample(F.col("_term"), F.col("_part"), k, F.col("_log")).alias(f"_{k}") for k in range(AT_ONCE)]
+    drawn = shared.select(slice_, part.alias("_part"), "_owners", *samples)
     names = [f"_{k}" for k in range(AT_ONCE)]
     owned = drawn.select(slice_, "_part", F.explode("_owners").alias("_o"), *names).select(slice_, "_part", *(F.col(f"_o.{c}").alias(c) for c in [*keys, "_in"]), *names)
     least = owned.groupBy(slice_, *keys, "_in", "_part").agg(*(F.min(n).alias(n) for n in names))
