@@ -16,6 +16,9 @@ not read by the index and pass through `deduplicate`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,23 @@ class DigestIndex:
         )
 
 
+@contextmanager
+def _pruned_by_filter(spark: SparkSession) -> Iterator[None]:
+    """Lets the planner put a Bloom filter of the hits' digests under the scan of texts however small that scan is, so
+    that texts without a copy aren't shuffled to be verified."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    # 8 MB at most, whatever the input; past some ten million digests it lets more texts through, and loses none
+    wanted = {"applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "1PB", "expectedNumItems": "4000000", "numBits": str(64 << 20)}
+    before = {key: spark.conf.get(prefix + key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(prefix + key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(prefix + key, value)
+
+
 def _plain(docs: DataFrame, text_col: str, id_col: str, keep: str) -> DataFrame:
     """Groups by the text itself, for digests that stand for more than one text."""
     best = F.max(id_col) if keep == "largest" else F.min(id_col)
@@ -97,7 +117,8 @@ def decide(docs: DataFrame, keep: str = "largest") -> DataFrame:
     index.flush(docs)
     index.compact()
     clashes = index.collisions(docs)
-    found = clashes.take(1)
+    with _pruned_by_filter(docs.sparkSession):
+        found = clashes.take(1)
     if not found:
         return index.probe()
     clashes = F.broadcast(clashes)
