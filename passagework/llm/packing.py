@@ -5,8 +5,8 @@ rest. A sequence has three capacities: tokens, documents and attention cost (the
 go in by decreasing length, each into the open sequence that fits it under every constraint and whose weighted residual
 norm is then smallest; where none fits, a new one opens.
 
-Whole-sequence pieces need no search. The others are dealt by hash into groups of about GROUP_TOKENS tokens, each packed
-by itself: a group's memory is bounded, and what it wastes is its last sequences, a few of thousands.
+Whole-sequence pieces need no search. The others are dealt by hash into groups of about GROUP_TOKENS tokens and GROUP_ROWS
+pieces at most, each packed by itself: a group's memory is bounded, and what it wastes is its last sequences, a few of thousands.
 
 Tokenising goes word by word through a bounded cache: the tokenizer never joins text across white space, so a text's ids
 are its words' ids in a row. Texts stream through in blocks; no piece needs more than a block in memory.
@@ -17,6 +17,7 @@ Ties of length go by doc_id, piece and row. Empty tables give empty results. Fur
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -37,7 +38,7 @@ SEQUENCE, CLOSING = 4096, 1
 #: What a sequence may hold, and how much an unused share of each capacity weighs in the residual norm.
 MAX_DOCS, MAX_COST = SEQUENCE, SEQUENCE * SEQUENCE
 WEIGHTS = (1.0, 0.01, 0.01)
-GROUP_TOKENS = 16_000_000
+GROUP_TOKENS, GROUP_ROWS = 16_000_000, 200_000
 #: Words whose ids a worker remembers before it starts afresh, and the longest that isn't left to the whole tokenizer.
 CACHED_WORDS, LONGEST_PLAIN = 1_000_000, 64
 
@@ -231,7 +232,8 @@ def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, max_docs: int = MAX_DOC
     """Adds sequence_id and offset to pieces of at most `size` tokens."""
     pieces = table(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     rest = pieces.where(F.col("length") < size)
-    groups = max(1, round((rest.agg(F.sum("length")).first()[0] or 0) / group_tokens))
+    tokens, rows = rest.agg(F.sum("length"), F.count("*")).first()
+    groups = max(1, math.ceil(max((tokens or 0) / group_tokens, rows / GROUP_ROWS)))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "_row"], ascending=[False, True, True, True], kind="stable")
