@@ -44,8 +44,8 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.7, "address|host|server|login"),
     Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?+[0-9])++", r"[0-9][\x20-]?[0-9]", 0.8, "card|visa|payment|credit"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, "call|phone|tel|fax|mobile"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|transfer", base=False),
-    Kind("secret", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])", r"[0-9A-Fa-f]{32}", 0.4, "token|key|secret|password", base=False),
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", r"[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|transfer", base=False),
+    Kind("secret", r"(?<![0-9A-Za-z_])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z_])", r"[0-9A-Fa-f]{32}", 0.4, "token|key|secret|password", base=False),
 )
 
 

@@ -79,6 +79,42 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+#: The patterns in their plain forms; pairs of gap and match as in the operator.
+OP5_SQL = rf"""
+WITH kinds AS (SELECT * FROM (VALUES
+    (0, 'email', 1.0, '', ''), (1, 'ip', 1.0, '', ''), (2, 'card', 1.0, '', ''), (3, 'phone', 1.0, '', ''),
+    (4, 'iban', 0.8, 'iban|account|bank|transfer', '{pii.KINDS[4].against}'), (5, 'secret', 0.4, 'token|key|secret|password', '{pii.KINDS[5].against}')) k(no, kind, base, context, against)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS (
+  {" UNION ALL ".join(f"""SELECT r, {no} AS no, regexp_extract_all(text, '(?s)(.*?)(?:({pattern})|{chr(92)}z)', 1) AS gaps,
+    regexp_extract_all(text, '(?s)(.*?)(?:({pattern})|{chr(92)}z)', 2) AS matches FROM docs""" for no, pattern in enumerate((
+      r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", r"[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", r"[0-9](?:[ -]?[0-9])+", r"[+][0-9][ ().0-9-]+[0-9]",
+      r"\b[A-Z][A-Z][0-9][0-9](?:[ ]?[A-Z0-9]){11,30}\b", r"\b[0-9A-Fa-f]{32,}\b")))}),
+pairs AS (SELECT r, no, unnest(gaps) AS gap, unnest(matches) AS m, generate_subscripts(gaps, 1) AS i FROM found),
+placed AS (
+  SELECT r, no, m, right(gap, 40) AS tail, lead(left(gap, 40)) OVER w AS head,
+         (sum(length(gap) + length(m)) OVER w)::BIGINT AS stop FROM pairs WINDOW w AS (PARTITION BY r, no ORDER BY i)),
+spans AS (
+  SELECT r, no, kind, stop - length(m) AS start, stop, regexp_replace(m, '[^0-9]', '', 'g') AS digits, m,
+         lower(concat_ws(' ', tail, head)) AS near, k.* EXCLUDE (no, kind) FROM placed JOIN kinds k USING (no) WHERE m <> ''),
+valid AS (
+  SELECT r, no, start, stop, kind || ':' || start || ':' || stop AS shown FROM spans WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(right(p, 3) AS INT), 0) <= 255))
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''),
+      lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+    WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''),
+      lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1
+    ELSE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Fa-f]') END
+  AND (no < 4 OR base + CASE WHEN regexp_matches(near, context) THEN 0.25 ELSE 0 END - CASE WHEN regexp_matches(near, against) THEN 0.25 ELSE 0 END >= 0.6)),
+by_doc AS (
+  SELECT r, count(*) FILTER (no = 0) AS n_email, count(*) FILTER (no = 1) AS n_ip, count(*) FILTER (no = 2) AS n_card, count(*) FILTER (no = 3) AS n_phone,
+         string_agg(shown, ',' ORDER BY no, start) FILTER (no < 4) AS base, string_agg(shown, ',' ORDER BY no, start) AS spans FROM valid GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN by_doc USING (r)
+"""
+
 OP7_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -111,4 +147,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_rendezvous_sharding": OP1_SQL, "op7_fair_queue_mixing": OP7_SQL, "op10_lsm_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_rendezvous_sharding": OP1_SQL, "op5_pii_spans": OP5_SQL, "op7_fair_queue_mixing": OP7_SQL, "op10_lsm_exact_dedup": OP10_SQL}
