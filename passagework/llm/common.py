@@ -56,6 +56,16 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def never_null(column: str) -> Column:
+    """A key's text, or a text that no key has: joins on it are plain, and share their partitioning with sums and windows."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one struct, `_row`, out of the way of an operator's own names."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
 def n_words(text: str | Column) -> Column:
     """How many words a text has; 0 for null."""
     return F.regexp_count(whole(text), F.lit(WORD)).cast("long")

@@ -22,7 +22,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, whole
+from .common import never_null, new_path, whole, whole_row
 
 #: A digest of more than this share of the rows (and LEAST_HOT rows) is joined by broadcast: no more than 1 / HOT_SHARE
 #: digests, 5,000 rows of some 50 bytes, can be so common.
@@ -136,7 +136,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents that stay, one of each group of equal texts, with all their columns."""
-    stay = decide(docs, keep).where("kept").select(F.col("digest").alias("_digest"), F.col("id").alias("_id"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), digest_of(whole("text")).alias("_key"), F.col("doc_id").alias("_doc"))
-    on = (F.col("_key") == F.col("_digest")) & F.col("_doc").eqNullSafe(F.col("_id"))
-    return rows.join(stay, on, "left_semi").dropDuplicates(["_key", "_doc"]).select("_row.*")
+    stay = decide(docs, keep).where("kept").select(F.col("digest").alias("_key"), never_null("id").alias("_doc"))
+    rows = docs.select(whole_row(docs), digest_of(whole("text")).alias("_key"), never_null("doc_id").alias("_doc"))
+    return rows.join(stay, ["_key", "_doc"], "left_semi").dropDuplicates(["_key", "_doc"]).select("_row.*")

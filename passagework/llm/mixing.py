@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import buckets_for, n_words, running_total, table, whole
+from .common import buckets_for, n_words, never_null, running_total, table, whole, whole_row
 
 #: Slices of virtual time in the global range sort: each gets an equal share of the mix.
 SLICES = 512
@@ -94,17 +94,13 @@ def mix_table(docs: DataFrame, weights: Sequence[float] = (3, 1, 2)) -> DataFram
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
     """The mix as documents, whole ones only: each comes as often as its taken words fill it, rounded to the nearest
     (none, once, or up to max_repeats times). Repeated rows share what their words were given."""
-    key = ["doc_id", "source", "_size", "_hash"]
-    plan = schedule(docs, weights, share, max_repeats).select("doc_id", "source", F.col("size").alias("_size"), F.col("text_hash").alias("_hash"), "taken")
+    key = ["_doc", "_source", "_size", "_hash"]
+    plan = schedule(docs, weights, share, max_repeats).select(never_null("doc_id").alias("_doc"), never_null("source").alias("_source"), F.col("size").alias("_size"), F.col("text_hash").alias("_hash"), "taken")
     copies = F.when(F.col("_size") > 0, F.floor(F.col("taken") / F.col("_size") + 0.5)).otherwise(0)
     plan = plan.groupBy(*key).agg(F.sum(copies).cast("long").alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "source", n_words("text").alias("_size"), F.xxhash64(whole("text")).alias("_hash")
-    )
+    rows = docs.select(whole_row(docs), never_null("doc_id").alias("_doc"), never_null("source").alias("_source"), n_words("text").alias("_size"), F.xxhash64(whole("text")).alias("_hash"))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    plan = plan.select(*(F.col(c).alias(f"_p{c}") for c in key), "_copies", "_rows")
-    on = [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in key]
-    rows = rows.withColumn("_nth", nth).join(plan, on)
+    rows = rows.withColumn("_nth", nth).join(plan, key)
     upto = lambda n: F.floor(n * F.col("_copies") / F.col("_rows"))
     rows = rows.withColumn("_n", upto(F.col("_nth")) - upto(F.col("_nth") - 1)).where("_n > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

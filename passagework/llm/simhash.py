@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import table, whole
+from .common import never_null, table, whole, whole_row
 from .components import components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
@@ -156,7 +156,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id (of equal ids the smallest text hash), with
     all its columns."""
     found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("doc_id").agg(F.min("text_hash").alias("_hash")).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(whole("text")).alias("_text"))
-    on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    return rows.join(keep, on, "left_semi").dropDuplicates(["_doc", "_text"]).select("_row.*")
+    keep = found.groupBy(never_null("doc_id").alias("_doc")).agg(F.min("text_hash").alias("_text"))
+    rows = docs.select(whole_row(docs), never_null("doc_id").alias("_doc"), F.xxhash64(whole("text")).alias("_text"))
+    return rows.join(keep, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select("_row.*")
