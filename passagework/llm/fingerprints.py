@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a bag of words, each weighing as often as it occurs. For each of SAMPLES samples and each word of weight w,
+A text is a bag of lower-cased words, each weighing as often as it occurs. For each of SAMPLES samples and each word of weight w,
 with r and c from Gamma(2, 1) and b from (0, 1), all fixed by the word's hash and the sample's number:
 
     t = floor(ln w / r + b),   ln a = ln c - r * (t - b) - r
@@ -57,25 +57,25 @@ def _sample(term: Column, part: Column, k: int, log_weight: Column) -> Column:
 FIRST, SECOND, BOTH = 1, 2, 3
 
 
-def signatures(segments: DataFrame, keys: list[str], slice_: str) -> DataFrame:
-    """slice, keys, first, second: fingerprints of two versions of a text, from rows of (slice, keys, _in, text).
+def signatures(segments: DataFrame, key: str, slice_: str) -> DataFrame:
+    """slice, key, first, second: fingerprints of two versions of a text, from rows of (slice, key, _in, text).
 
-    _in says which versions a segment belongs to; no word may run over a segment's end. Every document needs a segment,
-    be it empty. Rows that are already dealt out by slice aren't shuffled again. Within a slice, documents with the same
-    word as often share its samples: they are drawn once and handed to all of them. Slices are of bounded size.
+    The key is a number of the document in its slice. _in says which versions a segment belongs to; no word may run over a
+    segment's end. Every document needs a segment, be it empty. Rows that are already dealt out by slice aren't shuffled
+    again. Within a slice, documents with the same word as often share its samples: they are drawn once and handed to all
+    of them. Slices are of bounded size.
     """
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = segments.select(slice_, *keys, "_in", F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("_word"))
-    terms = words.select(slice_, *keys, "_in", F.when(F.col("_word") != "", F.xxhash64("_word")).alias("_term"))
-    weighed = terms.groupBy(slice_, *keys, "_term").agg(F.sum(F.col("_in").bitwiseAND(1)).alias("_n"), F.sum(F.shiftright("_in", 1)).alias("_m"))
-    one = lambda which, n: F.struct(F.lit(which).alias("in"), F.col(n).alias("n"))
+    words = segments.select(slice_, key, "_in", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("_word"))
+    terms = words.select(slice_, key, "_in", F.when(F.col("_word") != "", F.xxhash64("_word")).alias("_term"))
+    weighed = terms.groupBy(slice_, key, "_term").agg(F.sum(F.col("_in").bitwiseAND(1)).alias("_n"), F.sum(F.shiftright("_in", 1)).alias("_m"))
+    # owners of a sample: four times the document's number, and the versions that it is drawn for
+    one = lambda which, n: F.struct((F.col(key) * 4 + which).cast("long").alias("owner"), F.col(n).alias("n"))
     drawn = (
         F.when(F.col("_n") == F.col("_m"), F.array(one(BOTH, "_n"))).when(F.col("_m") == 0, F.array(one(FIRST, "_n")))
         .when(F.col("_n") == 0, F.array(one(SECOND, "_m"))).otherwise(F.array(one(FIRST, "_n"), one(SECOND, "_m")))
     )
-    weighed = weighed.select(slice_, *keys, "_term", F.explode(drawn).alias("_d"))
-    owner = F.struct(*keys, F.col("_d.in").alias("_in"))
-    shared = weighed.groupBy(slice_, "_term", F.col("_d.n").alias("_w")).agg(F.collect_list(owner).alias("_owners"))
+    weighed = weighed.select(slice_, "_term", F.explode(drawn).alias("_d")).select(slice_, "_term", "_d.owner", F.col("_d.n").alias("_w"))
+    shared = weighed.groupBy(slice_, "_term", "_w").agg(F.collect_list("owner").alias("_owners"))
     # null for the blank word, which so has no sample; a column of its own, as samples within a condition would share none
     # of their subexpressions
     log_weight = F.when(F.col("_term").isNotNull(), F.ln(F.col("_w").cast("double")))
@@ -87,11 +87,12 @@ def signatures(segments: DataFrame, keys: list[str], slice_: str) -> DataFrame:
     samples = [_sample(F.col("_term"), F.col("_part"), k, F.col("_log")).alias(f"_{k}") for k in range(AT_ONCE)]
     drawn = shared.select(slice_, part.alias("_part"), "_owners", *samples)
     names = [f"_{k}" for k in range(AT_ONCE)]
-    owned = drawn.select(slice_, "_part", F.explode("_owners").alias("_o"), *names).select(slice_, "_part", *(F.col(f"_o.{c}").alias(c) for c in [*keys, "_in"]), *names)
-    least = owned.groupBy(slice_, *keys, "_in", "_part").agg(*(F.min(n).alias(n) for n in names))
-    rows = least.select(slice_, *keys, F.struct(F.col("_in").alias("in"), F.col("_part").alias("part"), F.array(*names).alias("a")).alias("_row"))
-    found = rows.groupBy(slice_, *keys).agg(F.collect_list("_row").alias("_rows"))
-    return found.select(slice_, *keys, _fingerprint(F.col("_rows"), FIRST).alias("first"), _fingerprint(F.col("_rows"), SECOND).alias("second"))
+    owned = drawn.select(slice_, "_part", F.explode("_owners").alias("_owner"), *names)
+    least = owned.groupBy(slice_, "_owner", "_part").agg(*(F.min(n).alias(n) for n in names))
+    row = F.struct(F.col("_owner").bitwiseAND(3).cast("int").alias("in"), F.col("_part").alias("part"), F.array(*names).alias("a"))
+    rows = least.select(slice_, F.shiftright("_owner", 2).alias(key), row.alias("_row"))
+    found = rows.groupBy(slice_, key).agg(F.collect_list("_row").alias("_rows"))
+    return found.select(slice_, key, _fingerprint(F.col("_rows"), FIRST).alias("first"), _fingerprint(F.col("_rows"), SECOND).alias("second"))
 
 
 def _fingerprint(rows: Column, version: int) -> Column:
@@ -174,19 +175,21 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     if (copies or 0) > 1:
         texts = texts.dropDuplicates(all_keys)
     third = lambda n: F.expr(f"{n} div 3").cast("int")
-    base = texts.join(dealt(ring.select(*key, "n_chars", "prev_td", "prev_th", "prev_chars")), all_keys)
+    numbered = F.row_number().over(Window.partitionBy("_slice").orderBy(*key)).cast("long").alias("_no")
+    links = dealt(ring.select(*key, "n_chars", "prev_td", "prev_th", "prev_chars")).select("*", numbered)
+    base = texts.join(links, all_keys)
     heads = base.select(F.col("prev_td").alias("_td"), F.col("prev_th").alias("_th"), F.left("text", third("prev_chars")).alias("_head"))
     kept = (F.col("n_chars") - third("n_chars")).cast("int")
-    both = base.select(*all_keys, "text", "n_chars").join(dealt(heads), all_keys)
-    both = both.select(*all_keys, "text", kept.alias("_kept"), F.concat(F.left("text", kept), F.col("_head")).alias("edited"))
+    both = base.select(*all_keys, "_no", "text", "n_chars").join(dealt(heads), all_keys)
+    both = both.select(*all_keys, "_no", "text", kept.alias("_kept"), F.concat(F.left("text", kept), F.col("_head")).alias("edited"))
     # up to the last white space before the cut both versions have the same words
     parts = both.withColumn("_same", F.length(F.regexp_extract(F.left("text", F.col("_kept")), r"(?s)^.*[\x20\x09-\x0D]", 0)))
     after = lambda text: F.expr(f"substring({text}, _same + 1)")
-    segments = parts.select(*all_keys, F.posexplode(F.array(after("text"), after("edited"), F.expr("left(text, _same)"))).alias("_at", "text"))
-    signed = signatures(segments.select(*all_keys, (F.col("_at") + 1).alias("_in"), "text"), key, "_slice")
-    digests = both.select(*all_keys, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    found = signed.join(digests, all_keys).withColumnsRenamed({"first": "fingerprint", "second": "edited_fingerprint"})
-    found = table(found.drop("_slice"), "fingerprints")
+    segments = parts.select("_slice", "_no", F.posexplode(F.array(after("text"), after("edited"), F.expr("left(text, _same)"))).alias("_at", "text"))
+    signed = signatures(segments.select("_slice", "_no", (F.col("_at") + 1).alias("_in"), "text"), "_no", "_slice")
+    digests = both.select(*all_keys, "_no", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    found = signed.join(digests, ["_slice", "_no"]).withColumnsRenamed({"first": "fingerprint", "second": "edited_fingerprint"})
+    found = table(found.drop("_slice", "_no"), "fingerprints")
 
     ring = ring.select(*key, "doc_id", "n_chars", "copies", "next_td", "next_th")
     nexts = found.select(F.col("_td").alias("next_td"), F.col("_th").alias("next_th"), F.col("fingerprint").alias("_next"))
