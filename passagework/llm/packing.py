@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,8 @@ SEQUENCE, CLOSING = 4096, 1
 MAX_DOCS, MAX_COST = SEQUENCE, SEQUENCE * SEQUENCE
 WEIGHTS = (1.0, 0.01, 0.01)
 GROUP_TOKENS, GROUP_ROWS = 16_000_000, 200_000
-#: Words whose ids a worker remembers before it starts afresh, and the longest that isn't left to the whole tokenizer.
-CACHED_WORDS, LONGEST_PLAIN = 1_000_000, 64
+#: Words whose ids a worker remembers at most, and the longest that isn't left to the whole tokenizer.
+CACHED_WORDS, LONGEST_PLAIN = 800_000, 64
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -91,15 +92,18 @@ class WordCoder:
         text = core.decode("utf-8", "replace") if len(core) <= LONGEST_PLAIN else ""
         return text.lower().encode() if self.PLAIN.fullmatch(text) else None
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Make sure that these words are known."""
+    def learn(self, lists: Iterable[list[bytes]]) -> None:
+        """Make sure that the words of these lists are known. A full memory keeps what came first: the frequent words."""
         known = self.known
-        new = set(words).difference(known)
-        if not new:
-            return
+        words = set().union(*lists)
+        new = words.difference(known)
         if len(known) + len(new) > CACHED_WORDS:
+            first = dict(islice(known.items(), CACHED_WORDS // 2))
             known.clear()
-            new = set(words)
+            known.update(first)
+            new = words.difference(known)
+        if not new:
+            return
         cores = dict(zip(new, map(self._core, new)))
         rest = [word for word, core in cores.items() if core is None]
         known.update(zip(rest, self._each(rest)))
@@ -129,11 +133,17 @@ def _coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
+def _lowered(text: str | None) -> bytes:
+    """A text's bytes, A-Z lower-cased, as the tokenizer does itself; but not where that might write a special token."""
+    data = (text or "").encode("utf-8", "replace")
+    return data if b"<|" in data else data.lower()
+
+
 def _together(texts: list[str | None]) -> Iterator[list[bytes]]:
     """Texts as bytes, a block's worth at a time."""
     held, size = [], 0
     for text in texts:
-        held.append((text or "").encode("utf-8", "replace"))
+        held.append(_lowered(text))
         size += len(held[-1])
         if size > TEXT_BLOCK:
             yield held
@@ -158,7 +168,7 @@ def pieces_of(blocks: Iterable[list[bytes]], coder: WordCoder, size: int = SEQUE
 
 def _learnt(blocks: Iterable[list[bytes]], coder: WordCoder) -> Iterator[list[bytes]]:
     for words in blocks:
-        coder.learn(words)
+        coder.learn([words])
         yield words
 
 
@@ -172,7 +182,7 @@ def tokenised(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) ->
                 blocks = [_learnt(_word_blocks(t), coder) for t in some]
             else:
                 blocks = [[t.split()] for t in some]
-                coder.learn([w for (words,) in blocks for w in words])
+                coder.learn([words for (words,) in blocks])
             for block in blocks:
                 yield from ((number, *p) for p in pieces_of(block, coder, size))
                 number += 1

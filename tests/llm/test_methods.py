@@ -316,9 +316,9 @@ def test_pieces_give_the_documents_back(spark, small):
 
 def test_words_have_the_ids_of_their_text():
     coder = packing.WordCoder(packing.tokenizer_path())
-    for text in ("İstanbul ΣΑΣ ÅB é ́x \x1c\x1dd it's we'll 12ab<|endoftext|> foo.%% a≮ b", "a\u0085b c​d ẞ ÿ Ÿ", "ﬁ Dž don't. '| É. <|endoftext|>| " + "z" * 300):
-        split = text.encode().split()
-        coder.learn(split)
+    for text in ("İstanbul ΣΑΣ ÅB é ́x \x1c\x1dd it's we'll 12ab<|endoftext|> foo.%% a≮ b", "a\u0085b c​d ẞ ÿ Ÿ", "ﬁ Dž don't. '| É. <|endoftext|>| " + "z" * 300, "A<|ENDOFTEXT|> THE!! Å K"):
+        split = packing._lowered(text).split()
+        coder.learn([split])
         ids = coder.whole.encode(text, add_special_tokens=False).ids
         assert coder.encode(split) == struct.pack(f"<{len(ids)}I", *ids)
 

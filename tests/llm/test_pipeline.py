@@ -48,7 +48,7 @@ def test_stages(spark):
         tokens[p.doc_id] += p.length
     for i, n in copies.items():
         split = re.findall(rb"[^\x20\x09-\x0D]+", rows[i].text.encode())
-        coder.learn(split)
+        coder.learn([split])
         assert tokens[i] == n * (len(coder.encode(split)) // 4 + 1)
 
 
