@@ -59,7 +59,8 @@ def matches(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B)
 
 def score_postings(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """qid, id, ord, source, score from postings (term, id, ord, source, dl, tf) of the wanted terms."""
-    dfs = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # counted from tf, so that both uses of the postings ask for the same columns and share one scan and one shuffle
+    dfs = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = F.broadcast(dfs.crossJoin(F.broadcast(stats)).join(wanted, "term").select("term", "qid", "qtf", idf.alias("idf"), "avgdl"))
     length = 1 - b + b * F.col("dl") / F.col("avgdl")
@@ -90,7 +91,8 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list
     found = allowed(matches(corpus, queries), sources)
     top = ranked(found, top_k)
     pool = F.broadcast(allowed(corpus, sources).select("id", "ord", "source").orderBy("ord").limit(2 * top_k))
-    short = queries.select("qid").join(found.groupBy("qid").agg(F.count("*").alias("_n")), "qid", "left").where(F.coalesce("_n", F.lit(0)) < top_k).select("qid")
+    full = top.where(F.col("rank") == top_k).select("qid")
+    short = queries.select("qid").join(full, "qid", "left_anti")
     zeros = short.crossJoin(pool).join(top.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))
     columns = ["qid", "id", "ord", "source", "score"]
     return ranked(top.select(columns).unionByName(zeros.select(columns)), top_k)
