@@ -42,6 +42,8 @@ WEIGHTS = (1.0, 0.01, 0.01)
 GROUP_TOKENS, GROUP_ROWS = 16_000_000, 200_000
 #: Words whose ids a worker remembers at most, and the longest that isn't left to the whole tokenizer.
 CACHED_WORDS, LONGEST_PLAIN = 800_000, 64
+#: Texts of an Arrow batch that are Python objects at a time.
+ROWS_AT_ONCE = 512
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -64,10 +66,10 @@ class WordCoder:
     PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.merges.normalizer = normalizers.Sequence([])
+        self.whole = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.whole.model)  # the same model, without a normaliser
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -189,11 +191,13 @@ def tokenised(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path or tokenizer_path())
-        for batch in batches:
-            ids, rows = batch.column(0), list(rows_of(batch.column(1).to_pylist(), coder))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            columns = [ids.take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds, 1))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                ids, rows = batch.column(0), list(rows_of(batch.column(1).to_pylist(), coder))
+                columns = [ids.take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE)
 
