@@ -7,6 +7,10 @@ Passages without a query word score 0 and still rank, in store order.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +18,7 @@ from pyspark.sql.window import Window
 from ..functions.text import tokens
 
 K1, B = 1.5, 0.75
-#: Queries that one plan takes; more go in blocks. Their words are broadcast.
+#: Queries that one broadcast takes, about; more go in blocks.
 MAX_QUERIES = 10_000
 
 
@@ -38,10 +42,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def _checked(queries: DataFrame) -> DataFrame:
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"give queries in blocks of {MAX_QUERIES}")
-    return queries
+def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The search of all queries: in one go, or in blocks by the hash of qid, of half of MAX_QUERIES on average."""
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        return search(queries)
+    blocks = math.ceil(2 * n / MAX_QUERIES)
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (search(queries.where(block == i)) for i in range(blocks)))
 
 
 def matches(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -50,7 +58,7 @@ def matches(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B)
     The queries' words meet the corpus in a broadcast join inside the scan, so that only postings of those words are
     counted and shuffled.
     """
-    wanted = query_terms(_checked(queries))
+    wanted = query_terms(queries)
     vocabulary = F.broadcast(wanted.select("term").distinct())
     words = corpus.withColumn("_tokens", tokens(F.col("text"))).select("id", "ord", "source", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
     postings = words.join(vocabulary, "term").groupBy("term", "id", "ord", "source", "dl").agg(F.count("*").alias("tf"))
@@ -88,6 +96,10 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list
     A query with fewer matches than top_k is filled from the first passages in store order. It has fewer than top_k
     matches, so the first 2 * top_k passages are enough to fill it: no query meets all passages.
     """
+    return in_blocks(queries, lambda block: _bm25_block(corpus, block, top_k, sources))
+
+
+def _bm25_block(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list[str] | None) -> DataFrame:
     found = allowed(matches(corpus, queries), sources)
     top = ranked(found, top_k)
     pool = F.broadcast(allowed(corpus, sources).select("id", "ord", "source").orderBy("ord").limit(2 * top_k))

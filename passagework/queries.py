@@ -152,6 +152,26 @@ def bm25_no_match(spark: SparkSession, d: str) -> DataFrame:
     return lexical.bm25_search(passages(spark, d), nothing, 7).select(HITS)
 
 
+def every_50th(spark: SparkSession, d: str) -> DataFrame:
+    """qid, query of every benchmark item whose id is divisible by 50, with a vector or without."""
+    return spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 50 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+LEXICAL_50TH_SQL = LEXICAL_SQL.replace("item_id < 5 AND item_id IN (SELECT vec_id FROM embeddings)", "item_id % 50 = 0")
+DENSE_50TH_SQL = DENSE_SQL.replace("b.item_id < 5", "b.item_id % 50 = 0")
+
+
+@query(f"WITH {LEXICAL_50TH_SQL} {top_sql('bm25', 20)}")
+def bm25_every_50th(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.bm25_search(passages(spark, d), every_50th(spark, d), 20).select(HITS)
+
+
+@query(f"WITH {DENSE_50TH_SQL} {top_sql('dense', 5)}")
+def knn_every_50th(spark: SparkSession, d: str) -> DataFrame:
+    asked_50th = every_50th(spark, d).join(vectors(spark, d).withColumnRenamed("embedding", "vector"), F.col("qid") == F.col("vec_id")).drop("vec_id")
+    return dense_search(corpus(spark, d).where("embedding is not null"), asked_50th, 5).select(HITS)
+
+
 RANKS_SQL = f"""{DENSE_SQL}, {LEXICAL_SQL},
 dr AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS r FROM dense),
 br AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS r FROM bm25)"""
