@@ -542,6 +542,12 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", truncated(t, 60).alias("shown"), is_blank(F.col("text")).alias("blank"), html_escape(F.left(t, F.lit(30))).alias("escaped"))
 
 
+@query("""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
+def escaped_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts; text_functions and its SQL escape the first thirty characters."""
+    return docs(spark, d).select("doc_id", html_escape(F.col("text")).alias("escaped"))
+
+
 @query("""SELECT vec_id, printf('%.3f', vec_id / 16.0::DOUBLE) AS shown, 'a %20b.pdf' AS name, 1 / (1 + exp(-((vec_id - 100) / 50.0::DOUBLE))) AS s FROM embeddings""")
 def number_functions(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).select(
