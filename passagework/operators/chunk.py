@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from ..functions.text import format_pages, is_blank
 from ..schema import CHUNK_OVERLAP, CHUNK_SIZE, PAGE_SEPARATOR
 
+#: Block numbers in a run that is summed on its own.
+BUCKET = 4096
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
@@ -65,14 +67,25 @@ def _split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_offsets(blocks: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFrame:
-    """Adds start and stop: where a block stands in its document's text, blocks being joined by the separator."""
-    before = Window.partitionBy("source").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + len(separator)).over(before), F.lit(0)).cast("int")
-    return blocks.withColumn("start", start).withColumn("stop", (F.col("start") + F.length("text")).cast("int"))
+    """Adds start and stop: where a block stands in its document's text, blocks being joined by the separator.
+
+    Sums go by runs of BUCKET block numbers, and then over the runs' totals: no task holds all blocks of a document.
+    """
+    keys = ["source", "_bucket"]
+    rows = blocks.withColumn("_bucket", F.floor(F.col("block_no") / BUCKET)).withColumn("_size", F.coalesce(F.length("text").cast("long") + len(separator), F.lit(0)))
+    totals = rows.groupBy(*keys).agg(F.sum("_size").alias("_total"))
+    base = totals.withColumn("_base", F.sum("_total").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_total"))
+    base = base.select(F.col("source").alias("_source"), F.col("_bucket").alias("_of"), "_base")
+    within = Window.partitionBy(*keys).orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.join(base, F.col("source").eqNullSafe(F.col("_source")) & F.col("_bucket").eqNullSafe(F.col("_of")))
+    start = F.col("_base") + F.sum("_size").over(within) - F.col("_size")
+    placed = joined.withColumn("start", start).withColumn("stop", F.col("start") + F.length("text"))
+    return placed.select(*(F.col(f"`{c}`") for c in blocks.columns), "start", "stop")
 
 
 def documents_of(blocks: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFrame:
-    """One row a source: text and offsets; blank blocks are left out. A document is one row, and so bounded by a file."""
+    """One row a source: text and offsets; blank blocks are left out. A document is one row: for documents as
+    large as a file, not for sources of any size."""
     kept = blocks.where(~is_blank(F.col("text")))
     placed = with_offsets(kept, separator)
     row = F.struct("block_no", F.col("start").alias("s"), F.col("stop").alias("e"), "pages", "text")
