@@ -34,7 +34,7 @@ def settled(service: Service, settings: Settings) -> tuple[Settings, list[str]]:
 
 def answered(service: Service, settings: Settings, question: str) -> Iterator[str]:
     """What the console shows for a question: the passages, then the answer as it comes."""
-    if not service.status()["chunks"]:
+    if not service.chunks():
         yield "Database is empty."
         return
     options = Options(settings.top_n, settings.mode, settings.rerank, settings.rerank_k, None if settings.sources is None else list(settings.sources))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import rrf_term
 from ..schema import RRF_K
+from ..sources.postings import PostingsIndex
 from .dense import dense_search
 from .lexical import bm25_search
 
@@ -35,8 +36,8 @@ def candidate_depth(top_n: int) -> int:
     return max(4 * top_n, 20)
 
 
-def hybrid_search(corpus: DataFrame, queries: DataFrame, top_n: int, sources: list[str] | None = None) -> DataFrame:
+def hybrid_search(corpus: DataFrame, queries: DataFrame, top_n: int, sources: list[str] | None = None, index: PostingsIndex | None = None) -> DataFrame:
     """qid, id, score, rank from corpus (id, ord, source, text, embedding) and queries (qid, query, vector)."""
     depth = candidate_depth(top_n)
-    rankings = [dense_search(corpus, queries, depth, sources), bm25_search(corpus, queries, depth, sources)]
+    rankings = [dense_search(corpus, queries, depth, sources), bm25_search(corpus, queries, depth, sources, index)]
     return fused_top(rankings, top_n).select("qid", "id", "score", "rank")

@@ -13,7 +13,7 @@ def gallery_search(gallery: DataFrame, queries: DataFrame, top_n: int = 6) -> Da
     """qid, rank, source, caption, score, url of the images whose captions are nearest; blank queries find nothing."""
     rows = gallery.select(F.col("source").alias("id"), F.xxhash64("source").alias("ord"), "source", "embedding")
     hits = dense_search(rows, queries.where(~is_blank(F.col("query"))), top_n).select("qid", "rank", "id", "score")
-    found = gallery.select("source", "caption").join(F.broadcast(hits), F.col("source") == F.col("id"))
+    found = gallery.select("source", "caption").join(hits, F.col("source") == F.col("id"))
     return found.select("qid", "rank", "source", "caption", "score", F.concat(F.lit("/api/gallery/file/"), "source").alias("url"))
 
 

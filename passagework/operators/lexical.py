@@ -1,5 +1,8 @@
 """BM25 over a corpus: statistics, postings, and top passages for many queries at once.
 
+Postings are counted once and stored (`sources.postings`); a search with them reads no text. Without them the queries'
+words meet the texts in the scan.
+
 Scores are the Lucene form: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), term weight tf / (tf + k1 * (1 - b + b * dl /
 avgdl)), summed over a query's words with repeats. N, df and avgdl are the whole corpus's, whatever the source filter.
 Passages without a query word score 0 and still rank, in store order.
@@ -10,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +21,24 @@ from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 
+if TYPE_CHECKING:
+    from ..sources.postings import PostingsIndex
+
 K1, B = 1.5, 0.75
-#: Queries that one broadcast takes, about; more go in blocks.
+#: Queries that go in one block, about.
 MAX_QUERIES = 10_000
 
 
-def term_counts(corpus: DataFrame) -> DataFrame:
-    """id, term, tf. Counted before the shuffle and after it."""
-    return corpus.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def postings_of(corpus: DataFrame) -> DataFrame:
+    """term, id, ord, source, dl, tf of every passage's words, counted within the row: no shuffle."""
+    words = corpus.select("id", "ord", "source", tokens(F.col("text")).alias("_tokens"))
+    counted = words.select("id", "ord", "source", F.size("_tokens").alias("dl"), F.array_sort("_tokens").alias("_sorted"))
+    # a word's first place in the sorted list, and the next word's: what lies between is how often it occurs
+    firsts = F.filter(F.transform("_sorted", lambda t, i: F.struct(t.alias("term"), i.alias("at"), (i == 0) | (t != F.get("_sorted", i - 1)))), lambda x: x["col3"])
+    counted = counted.withColumn("_firsts", firsts)
+    after = lambda i: F.coalesce(F.get("_firsts", i + 1)["at"], F.col("dl"))
+    each = F.explode(F.transform("_firsts", lambda x, i: F.struct(x["term"].alias("term"), (after(i) - x["at"]).cast("long").alias("tf")))).alias("_")
+    return counted.select("id", "ord", "source", "dl", each).select("_.term", "id", "ord", "source", "dl", "_.tf")
 
 
 def term_df(corpus: DataFrame) -> DataFrame:
@@ -52,16 +66,18 @@ def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> D
     return reduce(DataFrame.unionByName, (search(queries.where(block == i)) for i in range(blocks)))
 
 
-def matches(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def matches(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, index: PostingsIndex | None = None) -> DataFrame:
     """qid, id, ord, source, score of all passages with a query word.
 
-    The queries' words meet the corpus in a broadcast join inside the scan, so that only postings of those words are
-    counted and shuffled.
+    The queries' words meet the stored postings, or else the corpus, in a join below any shuffle, so that only postings
+    of those words are counted and shuffled.
     """
     wanted = query_terms(queries)
-    vocabulary = F.broadcast(wanted.select("term").distinct())
+    vocabulary = wanted.select("term").distinct()
+    if index is not None:
+        return score_postings(index.of(vocabulary), index.stats(), wanted, k1, b)
     words = corpus.withColumn("_tokens", tokens(F.col("text"))).select("id", "ord", "source", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
-    postings = words.join(vocabulary, "term").groupBy("term", "id", "ord", "source", "dl").agg(F.count("*").alias("tf"))
+    postings = words.join(vocabulary, "term", "left_semi").groupBy("term", "id", "ord", "source", "dl").agg(F.count("*").alias("tf"))
     return score_postings(postings, corpus_stats(corpus), wanted, k1, b)
 
 
@@ -70,7 +86,7 @@ def score_postings(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k1:
     # counted from tf, so that both uses of the postings ask for the same columns and share one scan and one shuffle
     dfs = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = F.broadcast(dfs.crossJoin(F.broadcast(stats)).join(wanted, "term").select("term", "qid", "qtf", idf.alias("idf"), "avgdl"))
+    weights = dfs.crossJoin(F.broadcast(stats)).join(wanted, "term").select("term", "qid", "qtf", idf.alias("idf"), "avgdl")
     length = 1 - b + b * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * length)
     scored = postings.join(weights, "term").groupBy("qid", "id", "ord", "source").agg(F.sum(part).alias("score"))
@@ -79,7 +95,7 @@ def score_postings(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k1:
 
 def ranked(scored: DataFrame, top_k: int, *ties: Column) -> DataFrame:
     """Adds rank, from 1, and keeps top_k a query; ties by the given columns, else in store order."""
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), *(ties or (F.asc("ord"),)))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), *(ties or (F.asc("ord"), F.asc("id"))))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
@@ -90,19 +106,19 @@ def allowed(df: DataFrame, sources: list[str] | None) -> DataFrame:
     return df.where(F.col("source").isin(sources)) if sources else df.where(F.lit(False))
 
 
-def bm25_search(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list[str] | None = None) -> DataFrame:
+def bm25_search(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list[str] | None = None, index: PostingsIndex | None = None) -> DataFrame:
     """qid, id, ord, source, score, rank: the best passages of every query, those without a match filling up.
 
     A query with fewer matches than top_k is filled from the first passages in store order. It has fewer than top_k
     matches, so the first 2 * top_k passages are enough to fill it: no query meets all passages.
     """
-    return in_blocks(queries, lambda block: _bm25_block(corpus, block, top_k, sources))
+    return in_blocks(queries, lambda block: _bm25_block(corpus, block, top_k, sources, index))
 
 
-def _bm25_block(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list[str] | None) -> DataFrame:
-    found = allowed(matches(corpus, queries), sources)
+def _bm25_block(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list[str] | None, index: PostingsIndex | None) -> DataFrame:
+    found = allowed(matches(corpus, queries, index=index), sources)
     top = ranked(found, top_k)
-    pool = F.broadcast(allowed(corpus, sources).select("id", "ord", "source").orderBy("ord").limit(2 * top_k))
+    pool = allowed(corpus, sources).select("id", "ord", "source").orderBy("ord", "id").limit(2 * top_k)
     full = top.where(F.col("rank") == top_k).select("qid")
     short = queries.select("qid").join(full, "qid", "left_anti")
     zeros = short.crossJoin(pool).join(top.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))

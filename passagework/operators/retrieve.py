@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..schema import RERANK_K
+from ..sources.postings import PostingsIndex
 from .dense import dense_search
 from .fuse import hybrid_search
 from .lexical import bm25_search
@@ -36,21 +37,25 @@ class Options:
         return max(self.rerank_k, self.top_n) if self.rerank else self.top_n
 
 
-def first_stage(corpus: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
+def first_stage(corpus: DataFrame, queries: DataFrame, options: Options, index: PostingsIndex | None = None) -> DataFrame:
     """qid, id, score, rank. Any mode but dense and bm25 is the hybrid."""
-    search = {"dense": dense_search, "bm25": bm25_search}.get(options.mode, hybrid_search)
-    return search(corpus, queries, options.depth, options.sources).select("qid", "id", "score", "rank")
+    if options.mode == "dense":
+        found = dense_search(corpus, queries, options.depth, options.sources)
+    else:
+        found = (bm25_search if options.mode == "bm25" else hybrid_search)(corpus, queries, options.depth, options.sources, index)
+    return found.select("qid", "id", "score", "rank")
 
 
-def retrieve(corpus: DataFrame, queries: DataFrame, options: Options = Options(), scorer: Column | None = None) -> DataFrame:
+def retrieve(corpus: DataFrame, queries: DataFrame, options: Options = Options(), scorer: Column | None = None, index: PostingsIndex | None = None) -> DataFrame:
     """qid, rank, id, text, score, source, pages, score_kind from queries (qid, query, vector); blank queries find nothing.
 
-    The few ranked ids are broadcast to the corpus for their text. The rank filter stands below the scorer, so that a
-    model sees `depth` passages a query at most. `scorer` is a column over query and text.
+    The ranked ids are joined to the corpus for their text; the planner broadcasts them where they are few. The rank
+    filter stands below the scorer, so that a model sees `depth` passages a query at most. `scorer` is a column over
+    query and text. With an index the lexical search reads stored postings.
     """
     asked = queries.where(~is_blank(F.col("query")))
-    hits = first_stage(corpus, asked, options)
-    rows = corpus.select("id", "text", "source", "pages").join(F.broadcast(hits), "id").join(F.broadcast(asked.select("qid", "query")), "qid")
+    hits = first_stage(corpus, asked, options, index)
+    rows = corpus.select("id", "text", "source", "pages").join(hits, "id").join(asked.select("qid", "query"), "qid")
     if options.rerank:
         rows = rerank(rows, options.top_n, scorer)
     else:

@@ -17,6 +17,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from ..functions.text import sanitize
 from ..models import Captioner, Embedder, Extractor
 from ..operators.chunk import chunks_of, documents_of
+from ..operators.lexical import postings_of
+from ..sources.postings import lengths_of
 from ..sources.store import Store
 
 #: Texts that an embedder gets at a time.
@@ -88,21 +90,32 @@ def extracted(files: DataFrame, extractor: Extractor) -> DataFrame:
     return files.select("source", "content").mapInPandas(read, "source string, block_no int, pages array<int>, text string")
 
 
+def _touched(store: Store, changed: DataFrame) -> list[int]:
+    """The buckets of these sources: as many as the store has, at most."""
+    return sorted(r.bucket for r in changed.select(store.bucket().alias("bucket")).distinct().collect())
+
+
 def ingest(store: Store, files: DataFrame, extractor: Extractor, embedder: Embedder, forced: list[str] | None = None) -> bool:
-    """Bring the store up to date with files (source, content, digest); whether anything changed."""
-    corpus, manifest = store.read("corpus"), store.read("manifest")
-    plan = sync_plan(files, manifest, corpus, forced).persist()
+    """Bring the store up to date with files (source, content, digest); whether anything changed.
+
+    Only buckets with a changed document are written: their passages, markers, postings and lengths."""
+    plan = sync_plan(files, store.read("manifest"), store.read("corpus"), forced).persist()
     try:
-        if not any_changed(plan).first()[0]:
+        touched = _touched(store, plan.where("status <> 'skip'"))
+        if not touched:
             return False
         again = plan.where("status in ('changed', 'interrupted', 'new')").select("source")
         blocks = extracted(files.join(again, "source", "left_semi"), extractor)
         chunks = embedded(chunks_of(documents_of(blocks)), "text", embedder)
+        # by the hash of the source; two sources that share it are told apart by id wherever ord decides
         order = F.xxhash64("source").bitwiseAND(0x3FFFFFFF) * F.lit(1 << 32) + F.col("chunk_ix")
         fresh = chunks.select("id", "source", order.alias("ord"), "text", "pages", "embedding", F.lit(None).cast("string").alias("file_hash"))
-        following = sync_apply(plan, corpus, fresh).persist()
-        store.publish(corpus=following, manifest=next_manifest(files, following))
-        following.unpersist()
+        draft = store.draft()
+        corpus = draft.put("corpus", sync_apply(plan, store.read("corpus", touched), fresh), touched)
+        draft.put("postings", postings_of(corpus), touched, order="term")
+        draft.put("lengths", lengths_of(corpus, "source"), touched)
+        draft.put("manifest", next_manifest(files.where(store.bucket().isin(touched)), corpus), touched)
+        draft.publish()
         return True
     finally:
         plan.unpersist()
@@ -128,8 +141,11 @@ def sync_gallery(store: Store, files: DataFrame, captioner: Captioner, embedder:
 
         again = changed.where("digest is not null").withColumn("caption", describe(F.col("path")))
         fresh = embedded(again, "caption", embedder).select("source", "path", "caption", F.col("digest").alias("file_hash"), "embedding")
-        kept = gallery.join(changed.select("source"), "source", "left_anti")
-        store.publish(gallery=kept.unionByName(fresh))
+        touched = _touched(store, changed)
+        kept = store.read("gallery", touched).join(changed.select("source"), "source", "left_anti")
+        draft = store.draft()
+        draft.put("gallery", kept.unionByName(fresh), touched)
+        draft.publish()
         return True
     finally:
         joined.unpersist()

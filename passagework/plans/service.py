@@ -14,6 +14,7 @@ from ..operators.gallery import gallery_search
 from ..operators.rerank import pair_scores
 from ..operators.retrieve import Options, retrieve
 from ..sources.files import document_files, image_files, with_digest
+from ..sources.postings import PostingsIndex
 from ..sources.store import Store
 from . import lifecycle
 
@@ -38,7 +39,11 @@ class Service:
     def refresh(self) -> int:
         """Take up what changed on disk; how many chunks there are now."""
         lifecycle.ingest(self.store, self.files(), self.extractor, self.embedder)
-        return self.store.read("corpus").count()
+        return self.chunks()
+
+    def chunks(self) -> int:
+        """How many chunks there are, by the markers."""
+        return self.store.read("manifest").agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]
 
     def reindex(self, name: str) -> bool:
         return lifecycle.reindex(self.store, self.files(), self.extractor, self.embedder, name)
@@ -46,12 +51,15 @@ class Service:
     def refresh_gallery(self) -> int:
         if self.images:
             lifecycle.sync_gallery(self.store, with_digest(image_files(self.spark, self.images), VISION_VERSION), self.captioner, self.embedder)
-        return self.store.read("gallery").count()
+        return self.images_known()
 
     def status(self) -> dict[str, object]:
-        corpus = self.store.read("corpus")
-        sources = [r[0] for r in corpus.select("source").distinct().orderBy("source").collect()]
-        return {"chunks": corpus.count(), "sources": sources, "images": self.store.read("gallery").count()}
+        """Counts, and the names of all documents that have chunks, from their markers."""
+        sources = [r[0] for r in self.store.read("manifest").where("n_chunks > 0").select("source").orderBy("source").collect()]
+        return {"chunks": self.chunks(), "sources": sources, "images": self.images_known()}
+
+    def images_known(self) -> int:
+        return self.store.read("gallery").count()
 
     def queries(self, texts: list[str]) -> DataFrame:
         """A block of queries: qid, query, vector."""
@@ -62,7 +70,8 @@ class Service:
     def retrieve(self, texts: list[str], options: Options = Options(top_n=4, rerank=True)) -> DataFrame:
         scorer = self.scorer
         score = pair_scores(type(scorer).__name__, lambda: scorer, F.col("query"), F.col("text")) if options.rerank else None
-        return retrieve(self.store.read("corpus"), self.queries(texts), options, score)
+        index = PostingsIndex(self.store.read("postings"), self.store.read("lengths"))
+        return retrieve(self.store.read("corpus"), self.queries(texts), options, score, index)
 
     def search(self, texts: list[str], options: Options = Options(top_n=4, rerank=True)) -> DataFrame:
         return evidence(self.retrieve(texts, options))

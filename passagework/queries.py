@@ -1,7 +1,8 @@
 """The driver's queries of the retrieval engine, each with its DuckDB SQL.
 
-A row of `documents` is a passage (ord = doc_id); `benchmark` items are queries; a passage's or query's vector is the row
-of `embeddings` with its id. Scores are rounded to nine places before they rank, so that both engines agree on ties.
+A row of `documents` is a passage (ord = doc_id); `benchmark` items whose id is divisible by 50 are the queries, put to all
+passages, and two queries ask all items. A passage's or query's vector is the row of `embeddings` with its id; lexical
+searches read postings that are stored once for a table. Scores are rounded to nine places before they rank, so that both engines agree on ties.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .operators.rerank import rerank
 from .operators.retrieve import Options, retrieve
 from .plans import lifecycle
 from .plans.settings import Settings, handle
+from .sources.postings import PostingsIndex, kept_index
 from .streaming.events import answer_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,10 +61,24 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return passages(spark, d).join(vectors(spark, d), F.col("ord") == F.col("vec_id"), "left").drop("vec_id")
 
 
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """qid, query of every benchmark item."""
+    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    """qid, query, vector of the first benchmark items: the queries' own block."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").where("item_id < 5").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return items.join(vectors(spark, d).withColumnRenamed("embedding", "vector"), F.col("qid") == F.col("vec_id")).drop("vec_id")
+    """qid, query, vector of the queries; the vector is null for an item without one."""
+    return items(spark, d).where("qid % 50 = 0").join(vectors(spark, d).withColumnRenamed("embedding", "vector"), F.col("qid") == F.col("vec_id"), "left").drop("vec_id")
+
+
+def pointed(spark: SparkSession, d: str) -> DataFrame:
+    """The queries that have a vector."""
+    return asked(spark, d).where("vector is not null")
+
+
+def index(spark: SparkSession, d: str) -> PostingsIndex:
+    """The stored postings of a table of documents; written by the first query that asks for them."""
+    return kept_index(spark, f"{d}/documents.parquet", passages(spark, d))
 
 
 WORD_SQL = r"'([\p{L}\p{N}_]+)'"
@@ -73,7 +89,7 @@ stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM toks),
 words AS (SELECT ord, len(toks) AS dl, unnest(toks) AS term FROM toks),
 tf AS (SELECT ord, dl, term, count(*) AS tf FROM words GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-asked AS (SELECT item_id AS qid, text AS query FROM benchmark WHERE item_id < 5 AND item_id IN (SELECT vec_id FROM embeddings)),
+asked AS (SELECT item_id AS qid, text AS query FROM benchmark WHERE item_id % 50 = 0),
 qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(regexp_extract_all(lower(query), {WORD_SQL}, 1)) AS term FROM asked) GROUP BY ALL),
 matched AS (
   SELECT qid, ord, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score
@@ -84,7 +100,7 @@ DENSE_SQL = """
 vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 dense AS (
   SELECT q.vec_id AS qid, d.doc_id AS ord, d.source, round(list_cosine_similarity(q.v, e.v), 9) AS score
-  FROM vecs q JOIN benchmark b ON b.item_id = q.vec_id AND b.item_id < 5 CROSS JOIN documents d JOIN vecs e ON e.vec_id = d.doc_id)"""
+  FROM vecs q JOIN benchmark b ON b.item_id = q.vec_id AND b.item_id % 50 = 0 CROSS JOIN documents d JOIN vecs e ON e.vec_id = d.doc_id)"""
 
 
 def top_sql(table: str, k: int, where: str = "true", more: str = "") -> str:
@@ -98,18 +114,18 @@ IN_SQL = "source IN ('src1', 'src2', 'src3')"
 
 @query(f"WITH {DENSE_SQL} {top_sql('dense', 5)}")
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    return dense_search(corpus(spark, d).where("embedding is not null"), asked(spark, d), 5).select(HITS)
+    return dense_search(corpus(spark, d).where("embedding is not null"), pointed(spark, d), 5).select(HITS)
 
 
 @query(f"WITH {DENSE_SQL} {top_sql('dense', 5, IN_SQL)}")
 def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return dense_search(corpus(spark, d).where("embedding is not null"), asked(spark, d), 5, SOURCES).select(HITS)
+    return dense_search(corpus(spark, d).where("embedding is not null"), pointed(spark, d), 5, SOURCES).select(HITS)
 
 
 @query(f"WITH {DENSE_SQL} {top_sql('dense', 5)}")
 def knn_empty_filter(spark: SparkSession, d: str) -> DataFrame:
     """An empty list of sources is no filter for dense search."""
-    return dense_search(corpus(spark, d).where("embedding is not null"), asked(spark, d), 5, []).select(HITS)
+    return dense_search(corpus(spark, d).where("embedding is not null"), pointed(spark, d), 5, []).select(HITS)
 
 
 @query(rf"SELECT doc_id, len(toks)::BIGINT AS n_tokens, len(list_distinct(toks))::BIGINT AS n_terms FROM (SELECT doc_id, regexp_extract_all(lower(text), {WORD_SQL}, 1) AS toks FROM documents)")
@@ -130,46 +146,47 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LEXICAL_SQL} {top_sql('bm25', 20)}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25_search(passages(spark, d), asked(spark, d), 20).select(HITS)
+    return lexical.bm25_search(passages(spark, d), asked(spark, d), 20, index=index(spark, d)).select(HITS)
 
 
 @query(f"WITH {LEXICAL_SQL} {top_sql('bm25', 20, IN_SQL)}")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The filter comes after scoring: idf and lengths are the whole corpus's."""
-    return lexical.bm25_search(passages(spark, d), asked(spark, d), 20, SOURCES).select(HITS)
+    return lexical.bm25_search(passages(spark, d), asked(spark, d), 20, SOURCES, index(spark, d)).select(HITS)
 
 
 @query(f"WITH {LEXICAL_SQL} {top_sql('bm25', 20, 'false')}")
 def bm25_empty_filter(spark: SparkSession, d: str) -> DataFrame:
     """An empty list of sources lets nothing pass in lexical search."""
-    return lexical.bm25_search(passages(spark, d), asked(spark, d), 20, []).select(HITS)
+    return lexical.bm25_search(passages(spark, d), asked(spark, d), 20, [], index(spark, d)).select(HITS)
 
 
 @query("SELECT 1::BIGINT AS qid, doc_id AS ord, 0::DOUBLE AS score, row_number() OVER (ORDER BY doc_id)::INT AS rank FROM documents QUALIFY rank <= 7")
 def bm25_no_match(spark: SparkSession, d: str) -> DataFrame:
     """A query without any match still gets passages, in store order."""
     nothing = spark.createDataFrame([(1, "zzqxzzqx")], "qid long, query string")
-    return lexical.bm25_search(passages(spark, d), nothing, 7).select(HITS)
+    return lexical.bm25_search(passages(spark, d), nothing, 7, index=index(spark, d)).select(HITS)
 
 
-def every_50th(spark: SparkSession, d: str) -> DataFrame:
-    """qid, query of every benchmark item whose id is divisible by 50, with a vector or without."""
-    return spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 50 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+ALL_LEXICAL_SQL, ALL_DENSE_SQL = LEXICAL_SQL.replace(" WHERE item_id % 50 = 0", ""), DENSE_SQL.replace(" AND b.item_id % 50 = 0", "")
 
 
-LEXICAL_50TH_SQL = LEXICAL_SQL.replace("item_id < 5 AND item_id IN (SELECT vec_id FROM embeddings)", "item_id % 50 = 0")
-DENSE_50TH_SQL = DENSE_SQL.replace("b.item_id < 5", "b.item_id % 50 = 0")
+@query(f"WITH {ALL_LEXICAL_SQL} {top_sql('bm25', 20)}")
+def bm25_all_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item asks, and the texts are searched themselves, without stored postings."""
+    return lexical.bm25_search(passages(spark, d), items(spark, d), 20).select(HITS)
 
 
-@query(f"WITH {LEXICAL_50TH_SQL} {top_sql('bm25', 20)}")
-def bm25_every_50th(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25_search(passages(spark, d), every_50th(spark, d), 20).select(HITS)
+@query(f"WITH {ALL_DENSE_SQL} {top_sql('dense', 5)}")
+def knn_all_items(spark: SparkSession, d: str) -> DataFrame:
+    everyone = items(spark, d).join(vectors(spark, d).withColumnRenamed("embedding", "vector"), F.col("qid") == F.col("vec_id")).drop("vec_id")
+    return dense_search(corpus(spark, d).where("embedding is not null"), everyone, 5).select(HITS)
 
 
-@query(f"WITH {DENSE_50TH_SQL} {top_sql('dense', 5)}")
-def knn_every_50th(spark: SparkSession, d: str) -> DataFrame:
-    asked_50th = every_50th(spark, d).join(vectors(spark, d).withColumnRenamed("embedding", "vector"), F.col("qid") == F.col("vec_id")).drop("vec_id")
-    return dense_search(corpus(spark, d).where("embedding is not null"), asked_50th, 5).select(HITS)
+@query(f"WITH {LEXICAL_SQL} SELECT term, ord, source, dl::INT AS dl, tf FROM tf JOIN documents ON doc_id = ord")
+def stored_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index itself."""
+    return index(spark, d).postings.select("term", "ord", "source", "dl", "tf")
 
 
 RANKS_SQL = f"""{DENSE_SQL}, {LEXICAL_SQL},
@@ -191,7 +208,7 @@ hybrid AS (
 def hybrid_topn(spark: SparkSession, d: str) -> DataFrame:
     """Dense and lexical rankings, each to the candidate depth, fused; the flagship."""
     whole = corpus(spark, d)
-    return fuse.fused_top([dense_search(whole.where("embedding is not null"), asked(spark, d), 20), lexical.bm25_search(whole, asked(spark, d), 20)], 3).select(
+    return fuse.fused_top([dense_search(whole.where("embedding is not null"), pointed(spark, d), 20), lexical.bm25_search(passages(spark, d), asked(spark, d), 20, index=index(spark, d))], 3).select(
         "qid", F.col("id").cast("long").alias("ord"), "score", "rank"
     )
 
@@ -200,7 +217,7 @@ def hybrid_topn(spark: SparkSession, d: str) -> DataFrame:
   SELECT * FROM dr WHERE r <= 20 UNION ALL SELECT * FROM br WHERE r <= 20) GROUP BY qid, ord""")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     whole = corpus(spark, d)
-    rankings = [dense_search(whole.where("embedding is not null"), asked(spark, d), 20), lexical.bm25_search(whole, asked(spark, d), 20)]
+    rankings = [dense_search(whole.where("embedding is not null"), pointed(spark, d), 20), lexical.bm25_search(passages(spark, d), asked(spark, d), 20, index=index(spark, d))]
     return fuse.reciprocal_rank_fusion(rankings).select("qid", F.col("id").cast("long").alias("ord"), "score")
 
 
@@ -213,9 +230,9 @@ def rrf_nary(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     whole = corpus(spark, d)
-    first = dense_search(whole.where("embedding is not null"), asked(spark, d), 10)
+    first = dense_search(whole.where("embedding is not null"), pointed(spark, d), 10)
     third = first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("ord")))
-    fused = fuse.reciprocal_rank_fusion([first, lexical.bm25_search(whole, asked(spark, d), 10), third])
+    fused = fuse.reciprocal_rank_fusion([first, lexical.bm25_search(passages(spark, d), asked(spark, d), 10, index=index(spark, d)), third])
     n = sum(F.col(f"rank_{i}").isNotNull().cast("long") for i in range(3))
     return fused.select("qid", F.col("id").cast("long").alias("ord"), "score", n.alias("n_rankings"))
 
@@ -230,7 +247,7 @@ def _scorer() -> F.Column:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.bm25_search(passages(spark, d), asked(spark, d), 30)
+    hits = lexical.bm25_search(passages(spark, d), asked(spark, d), 30, index=index(spark, d))
     return hits.join(passages(spark, d).select("id", "text"), "id").join(asked(spark, d).select("qid", "query"), "qid")
 
 
@@ -250,14 +267,14 @@ def rerank_fallback(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {LEXICAL_SQL}, hits AS ({top_sql('bm25', 4, 'true', ', source')})
 SELECT qid, rank::INT AS rank, h.ord::VARCHAR AS id, d.text, score, d.source, (d.doc_id % 7 + 1)::VARCHAR AS pages, 'bm25' AS score_kind FROM hits h JOIN documents d ON d.doc_id = h.ord""")
 def retrieve_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve(corpus(spark, d), asked(spark, d), Options(top_n=4, mode="bm25"))
+    return retrieve(passages(spark, d), asked(spark, d), Options(top_n=4, mode="bm25"), index=index(spark, d))
 
 
 @query(f"{hybrid_sql(4)} SELECT qid, rank, ord::VARCHAR AS id, text, score, source, (doc_id % 7 + 1)::VARCHAR AS pages, 'hybrid' AS score_kind FROM hybrid JOIN documents ON doc_id = ord")
 def retrieve_unknown_mode(spark: SparkSession, d: str) -> DataFrame:
     """Any mode but dense and bm25 is the hybrid."""
     whole = corpus(spark, d).withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), 1)))
-    return retrieve(whole, asked(spark, d), Options(top_n=4, mode="semantic"))
+    return retrieve(whole, asked(spark, d), Options(top_n=4, mode="semantic"), index=index(spark, d))
 
 
 LEGACY_SQL = f"[^{diagnose.LEGACY_CHARS}]"
@@ -301,19 +318,25 @@ def block_offsets(spark: SparkSession, d: str) -> DataFrame:
     return ch.with_offsets(_blocks(spark, d)).select("source", "block_no", "start", "stop")
 
 
-@query(f"""WITH {OFFSETS_SQL},
+PARTS_SQL = r"""parts AS (
+  SELECT doc_id::VARCHAR AS source, i AS block_no, parts[i + 1] AS text, [i // 3 + 1, i // 3 + 2] AS pages
+  FROM (SELECT doc_id, parts, unnest(range(len(parts)))::INT AS i FROM (SELECT doc_id, string_split(text, '. ') AS parts FROM documents)) WHERE trim(regexp_replace(parts[i + 1], '[\s\p{Z}\x1c-\x1f\x{85}]+', ' ', 'g')) <> ''),
+placed AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM parts)"""
+
+
+@query(f"""WITH {PARTS_SQL},
 whole AS (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS text FROM placed GROUP BY source),
-probes AS (SELECT source, block_no, substring(text, greatest(length(text) - 39, 1), 40) AS chunk FROM placed),
-found AS (SELECT p.source, p.block_no, p.chunk, strpos(w.text, p.chunk) - 1 AS s FROM probes p JOIN whole w USING (source))
+found AS (SELECT p.source, p.block_no, p.text, strpos(w.text, p.text) - 1 AS s FROM placed p JOIN whole w USING (source))
 SELECT f.source, f.block_no, coalesce(array_to_string(list_sort(list_distinct(flatten(list(b.pages)))), ', '), '') AS pages
-FROM found f LEFT JOIN placed b ON b.source = f.source AND b.start < f.s + length(f.chunk) AND b.start + length(b.text) > f.s GROUP BY f.source, f.block_no""")
+FROM found f LEFT JOIN placed b ON b.source = f.source AND b.start < f.s + length(f.text) AND b.start + length(b.text) > f.s GROUP BY f.source, f.block_no""")
 def page_attribution(spark: SparkSession, d: str) -> DataFrame:
-    """The pages under the last forty characters of every block, by first occurrence in the whole document."""
-    chunk = F.expr("substring(text, greatest(length(text) - 39, 1), 40)")
-    probes = _blocks(spark, d).select("source", "block_no", chunk.alias("chunk"))
-    whole = ch.documents_of(_blocks(spark, d))
+    """Every document is a document whose sentences are its blocks, three a page and the last running on; the pages under
+    each whole block, by its first occurrence in the whole text."""
+    named = docs(spark, d).select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", r"\. ", -1)).alias("block_no", "text"))
+    first = F.floor(F.col("block_no") / 3).cast("int") + 1
+    blocks = named.where(~is_blank(F.col("text"))).withColumn("pages", F.array(first, first + 1))
     pages = ch.format_pages(ch.find_pages(F.col("chunk"), F.col("text"), F.col("offsets")))
-    return probes.join(whole, "source").select("source", "block_no", pages.alias("pages"))
+    return blocks.select("source", "block_no", F.col("text").alias("chunk")).join(ch.documents_of(blocks), "source").select("source", "block_no", pages.alias("pages"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +384,7 @@ def reindex_one(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.sync_plan(files, manifest, stored, forced=["f5"])
 
 
-@query("SELECT true AS changed")
+@query(f"SELECT bool_or(({STATUS_SQL}) <> 'skip') AS changed FROM documents")
 def any_changed(spark: SparkSession, d: str) -> DataFrame:
     files, manifest, stored = _sync_inputs(spark, d)
     return lifecycle.any_changed(lifecycle.sync_plan(files, manifest, stored))
@@ -392,7 +415,7 @@ SPACES_SQL = r"'[\s\p{Z}\x1c-\x1f\x{85}]+'"
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve(corpus(spark, d), asked(spark, d), Options(top_n=3, mode="bm25"))
+    return retrieve(passages(spark, d), asked(spark, d), Options(top_n=3, mode="bm25"), index=index(spark, d))
 
 
 @query(f"WITH {HITS_SQL} SELECT * FROM cite")
@@ -422,18 +445,20 @@ def display_lines(spark: SparkSession, d: str) -> DataFrame:
     return an.display_lines(_hits(spark, d), "BM25")
 
 
-ANSWERS = [(0, "So [2], then [1] and [2][3]."), (1, "None [n] here."), (2, "Out of range [9] and [1]."), (3, "[3][3][3]")]
-ANSWERS_SQL = f"answers AS (SELECT * FROM (VALUES {', '.join(f'({q}, {chr(39)}{a}{chr(39)})' for q, a in ANSWERS)}) v(qid, answer))"
+#: An answer to every query but one in five, by its id.
+ANSWERS = ["So [2], then [1] and [2][3].", "None [n] here.", "Out of range [9] and [1].", "[3][3][3]"]
+ANSWERS_SQL = f"answers AS (SELECT qid, [{', '.join(repr(a) for a in ANSWERS)}][(qid // 50 % 5 + 1)::INT] AS answer FROM asked WHERE qid // 50 % 5 < 4)"
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ANSWERS, "qid long, answer string")
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    which = F.floor(F.col("qid") / 50) % 5
+    return asked(spark, d).where(which < 4).select("qid", F.get(F.array(*map(F.lit, ANSWERS)), which.cast("int")).alias("answer"))
 
 
 @query(f"""WITH {HITS_SQL}, {ANSWERS_SQL} SELECT a.qid::BIGINT AS qid, len(list_distinct(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)))::BIGINT AS cited,
   (SELECT count(*) FROM hits h WHERE h.qid = a.qid) AS size FROM answers a""")
 def citation_stats(spark: SparkSession, d: str) -> DataFrame:
-    return an.citation_stats(_answers(spark), an.evidence(_hits(spark, d)))
+    return an.citation_stats(_answers(spark, d), an.evidence(_hits(spark, d)))
 
 
 NOTES_SQL = f"""{HITS_SQL}, {ANSWERS_SQL},
@@ -445,35 +470,36 @@ notes AS (SELECT c.qid, c.rank, c.citation, f.first_at, row_number() OVER (PARTI
 
 @query(f"WITH {NOTES_SQL} SELECT * FROM notes WHERE first_at IS NOT NULL")
 def cited_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return an.cited_notes(_answers(spark), an.evidence(_hits(spark, d))).where("first_at is not null").select("qid", "rank", "citation", "first_at", "position")
+    return an.cited_notes(_answers(spark, d), an.evidence(_hits(spark, d))).where("first_at is not null").select("qid", "rank", "citation", "first_at", "position")
 
 
 @query(f"WITH {NOTES_SQL} SELECT qid, rank, citation, position FROM notes WHERE first_at IS NULL")
 def uncited_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return an.cited_notes(_answers(spark), an.evidence(_hits(spark, d))).where("first_at is null").select("qid", "rank", "citation", "position")
+    return an.cited_notes(_answers(spark, d), an.evidence(_hits(spark, d))).where("first_at is null").select("qid", "rank", "citation", "position")
 
 
-@query(f"WITH {ANSWERS_SQL} SELECT qid::BIGINT AS qid, regexp_replace(answer, '\\[(\\d+)\\]', '<a class=\"cite\" href=\"#note-\\1\">[\\1]</a>', 'g') AS linked FROM answers")
+@query(f"WITH asked AS (SELECT item_id AS qid FROM benchmark WHERE item_id % 50 = 0), {ANSWERS_SQL} SELECT qid::BIGINT AS qid, regexp_replace(answer, '\\[(\\d+)\\]', '<a class=\"cite\" href=\"#note-\\1\">[\\1]</a>', 'g') AS linked FROM answers")
 def linked_answers(spark: SparkSession, d: str) -> DataFrame:
-    return _answers(spark).select("qid", linked_citations(F.col("answer")).alias("linked"))
+    return _answers(spark, d).select("qid", linked_citations(F.col("answer")).alias("linked"))
 
 
 @query(f"""WITH {LEXICAL_SQL}, {ANSWERS_SQL} SELECT q.qid::BIGINT AS qid, coalesce(a.answer, '{an.NO_CONTEXT}') AS answer
 FROM (SELECT qid FROM asked UNION ALL SELECT 99) q LEFT JOIN answers a ON a.qid = q.qid""")
 def answer_or_default(spark: SparkSession, d: str) -> DataFrame:
     everyone = asked(spark, d).select("qid").unionByName(spark.createDataFrame([(99,)], "qid long"))
-    return an.answers(everyone, _answers(spark))
+    return an.answers(everyone, _answers(spark, d))
 
 
 @query(f"""WITH {HITS_SQL}, q AS (SELECT qid FROM asked UNION ALL SELECT 99),
-tokens AS (SELECT qid, unnest(['Xin', '', 'chào']) AS fragment, unnest([0, 1, 2]) AS place FROM q)
-SELECT qid::BIGINT AS qid, 0::BIGINT AS seq, CASE WHEN qid IN (SELECT qid FROM hits) THEN 'sources' ELSE 'empty' END AS name FROM q
-UNION ALL SELECT qid, place + 1, 'token' FROM tokens WHERE fragment <> '' AND qid IN (SELECT qid FROM hits)
-UNION ALL SELECT qid, 4, 'done' FROM q WHERE qid IN (SELECT qid FROM hits)""")
+tokens AS (SELECT qid, unnest(['Xin', '', 'chào']) AS fragment, unnest([0, 1, 2]) AS place FROM q),
+listed AS (SELECT qid, to_json(list({{'rank': rank, 'text': text, 'score': score, 'source': source, 'pages': pages}} ORDER BY rank))::VARCHAR AS payload FROM hits GROUP BY qid)
+SELECT qid::BIGINT AS qid, 0::BIGINT AS seq, CASE WHEN payload IS NULL THEN 'empty' ELSE 'sources' END AS name, coalesce(payload, '{{}}') AS payload FROM q LEFT JOIN listed USING (qid)
+UNION ALL SELECT qid, place + 1, 'token', '"' || fragment || '"' FROM tokens WHERE fragment <> '' AND qid IN (SELECT qid FROM hits)
+UNION ALL SELECT qid, 4, 'done', '{{}}' FROM q WHERE qid IN (SELECT qid FROM hits)""")
 def sse_events(spark: SparkSession, d: str) -> DataFrame:
     everyone = asked(spark, d).select("qid").unionByName(spark.createDataFrame([(99,)], "qid long"))
     said = everyone.select("qid", F.posexplode(F.array(F.lit("Xin"), F.lit(""), F.lit("chào"))).alias("at", "fragment"))
-    return answer_events(everyone, _hits(spark, d), said).select("qid", "seq", "name")
+    return answer_events(everyone, _hits(spark, d), said).select("qid", "seq", "name", "payload")
 
 
 @query("SELECT count(*) AS chunks, count(DISTINCT source) AS sources, (SELECT count(*) FROM embeddings) AS vectors FROM documents")
@@ -497,11 +523,11 @@ def _gallery(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS qid, v.vec_id, printf('img%05d.png', v.vec_id) AS source, round(list_cosine_similarity(q.e, v.e), 9) AS score
-  FROM v JOIN v q ON q.vec_id < 5 AND q.vec_id IN (SELECT item_id FROM benchmark))
+  FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id IN (SELECT item_id FROM benchmark))
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, source)::INT AS rank, source, 'image ' || vec_id AS caption, score, '/api/gallery/file/' || source AS url
 FROM s QUALIFY rank <= 6""")
 def gallery_search_topn(spark: SparkSession, d: str) -> DataFrame:
-    return gallery_search(_gallery(spark, d), asked(spark, d), 6)
+    return gallery_search(_gallery(spark, d), pointed(spark, d), 6)
 
 
 @query("""SELECT source, status FROM (
@@ -535,27 +561,21 @@ def settings_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(t) > 60 THEN rtrim(left(t, 59)) || '…' ELSE t END AS shown, t = '' AS blank,
-  replace(replace(replace(replace(left(t, 30), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped
+  replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped
 FROM (SELECT doc_id, trim(regexp_replace(text, {SPACES_SQL}, ' ', 'g')) AS t FROM documents)""")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
     t = collapse_ws(F.col("text"))
-    return docs(spark, d).select("doc_id", truncated(t, 60).alias("shown"), is_blank(F.col("text")).alias("blank"), html_escape(F.left(t, F.lit(30))).alias("escaped"))
-
-
-@query("""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
-def escaped_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Whole texts; text_functions and its SQL escape the first thirty characters."""
-    return docs(spark, d).select("doc_id", html_escape(F.col("text")).alias("escaped"))
+    return docs(spark, d).select("doc_id", truncated(t, 60).alias("shown"), is_blank(F.col("text")).alias("blank"), html_escape(t).alias("escaped"))
 
 
-@query("""SELECT vec_id, printf('%.3f', vec_id / 16.0::DOUBLE) AS shown, 'a %20b.pdf' AS name, 1 / (1 + exp(-((vec_id - 100) / 50.0::DOUBLE))) AS s FROM embeddings""")
+@query("""SELECT vec_id, printf('%.3f', vec_id / 16.0::DOUBLE) AS shown, vec_id || ' %20b.pdf' AS name, 1 / (1 + exp(-((vec_id - 100) / 50.0::DOUBLE))) AS s FROM embeddings""")
 def number_functions(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).select(
-        "vec_id", fixed3(F.col("vec_id") / F.lit(16.0)).alias("shown"), basename(F.lit("dir/sub/a %20b.pdf")).alias("name"), sigmoid((F.col("vec_id") - 100) / F.lit(50.0)).alias("s")
+        "vec_id", fixed3(F.col("vec_id") / F.lit(16.0)).alias("shown"), basename(F.format_string("dir/%d/%d %%20b.pdf", F.col("vec_id") % 3, "vec_id")).alias("name"), sigmoid((F.col("vec_id") - 100) / F.lit(50.0)).alias("s")
     )
 
 
-@query("""SELECT conv_id, turn, len(list_distinct(regexp_extract_all('see [' || turn || '] and [' || (turn % 2) || ']', '\\[(\\d+)\\]', 1)))::BIGINT AS cited FROM conversations""")
+@query("""SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text || ' see [' || turn || '] and [' || (turn % 2) || ']', '\\[(\\d+)\\]', 1)))::BIGINT AS cited FROM conversations""")
 def conversation_citations(spark: SparkSession, d: str) -> DataFrame:
-    said = F.format_string("see [%d] and [%d]", F.col("turn"), F.col("turn") % 2)
+    said = F.concat("text", F.format_string(" see [%d] and [%d]", F.col("turn"), F.col("turn") % 2))
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.size(F.array_distinct(citations(said))).cast("long").alias("cited"))

@@ -20,6 +20,14 @@ CORPUS = StructType(
 )
 #: A document's commit record.
 MANIFEST = StructType([StructField("source", StringType()), StructField("digest", StringType()), StructField("n_chunks", LongType())])
+#: A word of a passage, and how often it stands there; what the average length of passages is made of.
+POSTINGS = StructType(
+    [
+        StructField("term", StringType()), StructField("id", StringType()), StructField("ord", LongType()), StructField("source", StringType()),
+        StructField("dl", IntegerType()), StructField("tf", LongType()),
+    ]
+)
+LENGTHS = StructType([StructField("source", StringType()), StructField("n", LongType()), StructField("total", LongType())])
 GALLERY = StructType([StructField("source", StringType()), StructField("path", StringType()), StructField("caption", StringType()), StructField("file_hash", StringType()), StructField("embedding", ArrayType(FloatType()))])
 
 #: Constants that define semantics.

@@ -7,28 +7,29 @@ import threading
 from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path, PurePosixPath
+from urllib.parse import unquote
 
-from .operators.answer import evidence
 from .operators.retrieve import Options
 from .plans.service import Service
-from .streaming.events import frame
+from .streaming.events import answer_events, frame, framed
 
 
 def ask_events(service: Service, request: dict) -> Iterator[str]:
-    """An answer's frames: `empty`, or `sources`, each `token` and `done`; `error` on any failure."""
+    """An answer's frames: `empty`, or `sources`, each `token` as it comes and `done`; `error` on any failure.
+
+    What the hits alone decide comes from the rows of `streaming.events`; the generator's fragments are framed between."""
     try:
         options = Options(request.get("top_n", 4), request.get("mode", "hybrid"), request.get("rerank", False), sources=request.get("sources"))
-        hits = service.retrieve([request["question"]], options).persist()
+        question = request["question"]
+        hits = service.retrieve([question], options).persist()
         try:
-            found = evidence(hits).orderBy("rank").collect()
-            if not found:
-                yield frame("empty", {})
-                return
-            yield frame("sources", [{k: r[k] for k in ("rank", "text", "score", "source", "pages")} for r in found])
-            for fragment in service.stream_answer(request["question"], hits, request.get("temperature", 0.0)):
-                if fragment:
-                    yield frame("token", fragment)
-            yield frame("done", {})
+            asked = service.spark.createDataFrame([(0,)], "qid int")
+            silent = service.spark.createDataFrame([], "qid int, at int, fragment string")
+            first, *rest = framed(answer_events(asked, hits, silent)).orderBy("seq").collect()
+            yield first.frame
+            if rest:
+                yield from (frame("token", t) for t in service.stream_answer(question, hits, request.get("temperature", 0.0)) if t)
+                yield rest[-1].frame
         finally:
             hits.unpersist()
     except Exception as problem:
@@ -36,10 +37,12 @@ def ask_events(service: Service, request: dict) -> Iterator[str]:
 
 
 def image_path(folder: str | None, name: str) -> Path | None:
-    """A gallery file by its base name only; None if there is none."""
-    plain = PurePosixPath(name.replace("\\", "/")).name
-    path = Path(folder or "") / plain
-    return path if folder and plain and path.is_file() else None
+    """A gallery file by its base name only, from a URL's encoded path; None if there is none."""
+    plain = PurePosixPath(unquote(name).replace("\\", "/")).name
+    if not folder or not plain or "\0" in plain:
+        return None
+    path = Path(folder) / plain
+    return path if path.is_file() else None
 
 
 def handler(service: Service) -> type[BaseHTTPRequestHandler]:
@@ -55,10 +58,11 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             self.wfile.write(data)
 
         def _refreshed(self, refresh) -> None:
+            """Refresh, then answer what `refresh` gives."""
             try:
                 with refreshing:
-                    refresh()
-                self._json(service.status())
+                    told = refresh()
+                self._json(told)
             except Exception as problem:
                 self._json({"detail": str(problem)}, 500)
 
@@ -66,7 +70,7 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             if self.path == "/api/status":
                 self._json(service.status())
             elif self.path == "/api/gallery/status":
-                self._json({"images": service.status()["images"]})
+                self._json({"count": service.images_known()})
             elif self.path.startswith("/api/gallery/file/"):
                 path = image_path(service.images, self.path.removeprefix("/api/gallery/file/"))
                 if path is None:
@@ -81,9 +85,9 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
         def do_POST(self) -> None:
             request = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
             if self.path == "/api/refresh":
-                self._refreshed(service.refresh)
+                self._refreshed(lambda: (service.refresh(), service.status())[1])
             elif self.path == "/api/gallery/refresh":
-                self._refreshed(service.refresh_gallery)
+                self._refreshed(lambda: {"count": service.refresh_gallery()})
             elif self.path == "/api/gallery/search":
                 found = service.find_images([request["query"]], request.get("top_n", 6)).orderBy("rank").collect()
                 self._json([{k: r[k] for k in ("source", "caption", "score", "url")} for r in found])

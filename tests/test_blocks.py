@@ -1,23 +1,64 @@
-"""Searches for more queries than a block takes."""
+"""Searches for more queries than a block takes, and by stored postings."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from passagework import queries
 from passagework.operators import lexical
 from passagework.operators.dense import dense_search
+from passagework.sources.postings import PostingsIndex, kept_index
 
 SF = "/root/testdata/sf0.001"
 
 
+def every(spark):
+    vectors = queries.vectors(spark, SF).withColumnRenamed("embedding", "vector")
+    return queries.items(spark, SF).where("qid < 20").join(vectors, F.col("qid") == F.col("vec_id"), "left").drop("vec_id")
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.select("qid", "ord", "score", "rank").collect())
+
+
 def test_blocks_find_what_one_go_finds(spark, monkeypatch):
-    corpus, asked = queries.corpus(spark, SF), queries.asked(spark, SF)
-    search = {"bm25": lambda: lexical.bm25_search(corpus, asked, 5), "dense": lambda: dense_search(corpus.where("embedding is not null"), asked, 5)}
-    rows = lambda df: sorted(tuple(r) for r in df.select("qid", "ord", "score", "rank").collect())
+    corpus, asked = queries.corpus(spark, SF), every(spark)
+    search = {"bm25": lambda: lexical.bm25_search(corpus, asked, 5), "dense": lambda: dense_search(corpus.where("embedding is not null"), asked.where("vector is not null"), 5)}
     whole = {name: rows(f()) for name, f in search.items()}
-    monkeypatch.setattr(lexical, "MAX_QUERIES", 2)
-    assert {name: rows(f()) for name, f in search.items()} == whole and all(len({r[0] for r in x}) == 5 for x in whole.values())
+    monkeypatch.setattr(lexical, "MAX_QUERIES", 8)
+    assert {name: rows(f()) for name, f in search.items()} == whole and all(len({r[0] for r in x}) == 20 for x in whole.values())
 
 
 def test_the_lexical_query_set_needs_no_vector(spark):
     whole = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").where("item_id % 50 = 0").count()
-    assert queries.every_50th(spark, "/root/testdata/sf0.1").count() == whole > 1
+    assert queries.asked(spark, "/root/testdata/sf0.1").count() == whole > 1
+
+
+def test_stored_postings_find_what_texts_find(spark, tmp_path, monkeypatch):
+    corpus, asked = queries.passages(spark, SF), every(spark)
+    index = PostingsIndex.write(corpus, str(tmp_path / "index"))
+    found = lexical.bm25_search(corpus, asked, 7, ["src1", "src2"], index)
+    assert rows(found) == rows(lexical.bm25_search(corpus, asked, 7, ["src1", "src2"]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all(lower(text" not in plan
+    monkeypatch.setattr("passagework.sources.postings.MOST_LITERALS", 0)
+    assert rows(lexical.bm25_search(corpus, asked, 7, ["src1", "src2"], index)) == rows(found)
+
+
+def test_other_files_are_another_index(spark, tmp_path):
+    at = str(tmp_path / "documents.parquet")
+    write = lambda text: spark.createDataFrame([("1", 1, "s", text)], "id string, ord long, source string, text string").write.mode("overwrite").parquet(at)
+    for text in ("one two two", "three"):
+        write(text)
+        corpus = spark.read.parquet(at)
+        assert {(r.term, r.tf) for r in kept_index(spark, at, corpus).postings.collect()} == {(w, text.split().count(w)) for w in text.split()}
+
+
+def test_equal_places_go_by_id(spark):
+    """Passages that share score and ord rank by id, run after run."""
+    corpus = spark.createDataFrame([(f"f{i}::0", 7, "s", "same words") for i in range(40)], "id string, ord long, source string, text string").repartition(7)
+    asked = spark.createDataFrame([(1, "words"), (2, "nothing")], "qid int, query string")
+    want = sorted(f"f{i}::0" for i in range(40))[:5]
+    for _ in range(2):
+        found = lexical.bm25_search(corpus, asked, 5).orderBy("qid", "rank").collect()
+        assert [r.id for r in found] == want + want

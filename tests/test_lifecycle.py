@@ -127,10 +127,11 @@ def test_file_scans(spark, at):
         at.write(name, "x")
     (at.docs / "deep").mkdir()
     (at.docs / "deep" / "c.pdf").write_text("x")
-    assert {r.source for r in files.document_files(spark, str(at.docs)).collect()} == {"a.pdf", "sp ace.pdf", "p%20q.pdf"}
-    for name in ("a.png", "b.JPG", "c.txt", "d.WebP"):
+    found = {r.source: bytes(r.content) for r in files.document_files(spark, str(at.docs)).collect()}
+    assert found == dict.fromkeys(["a.pdf", "sp ace.pdf", "p%20q.pdf", "_under.pdf"], b"x")
+    for name in ("a.png", "b.JPG", "c.txt", "d.WebP", ".x.png", "_y.png"):
         (at.images / name).write_bytes(b"x")
-    assert {r.source for r in files.image_files(spark, str(at.images)).collect()} == {"a.png", "b.JPG", "d.WebP"}
+    assert {r.source for r in files.image_files(spark, str(at.images)).collect()} == {"a.png", "b.JPG", "d.WebP", ".x.png", "_y.png"}
     assert files.image_files(spark, str(at.images / "none")).count() == 0
 
 
@@ -150,6 +151,32 @@ def test_images_come_change_and_go(service, at):
     assert [r.source for r in service.store.read("gallery").collect()] == ["red-car.png"]
 
 
+def test_one_changed_file_writes_one_bucket(service, at, spark):
+    for i in range(1000):
+        at.write(f"f{i}.pdf", f"text number {i}")
+    assert service.refresh() == 1000
+    before = service.store.parts()
+    at.write("f7.pdf", "other text")
+    assert service.refresh() == 1000
+    after = service.store.parts()
+    (bucket,) = [str(r.b) for r in spark.createDataFrame([("f7.pdf",)], "source string").select(service.store.bucket().alias("b")).collect()]
+    for table in ("corpus", "manifest", "postings", "lengths"):
+        assert {b for b in before[table] if before[table][b] != after[table][b]} == {bucket} and len(after[table]) == service.store.buckets
+    assert service.store.vacuum() == 0  # older folders still hold the other buckets
+    found = service.search(["other"], Options(top_n=1, mode="bm25")).first()
+    assert found.source == "f7.pdf"
+    postings = service.store.read("postings")
+    assert postings.count() == 3 * 999 + 2 and service.store.read("lengths").agg({"n": "sum"}).first()[0] == 1000
+
+
+def test_folders_without_a_reader_go(service, at):
+    at.write("a.pdf", "one")
+    service.refresh()
+    at.write("a.pdf", "two")
+    service.refresh()
+    assert service.store.vacuum() == 4 and [r.text for r in service.store.read("corpus").collect()] == ["two"]
+
+
 def test_store_starts_empty(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert store.current() is None and store.read("corpus").count() == 0 and store.read("manifest").columns == ["source", "digest", "n_chunks"]
@@ -210,6 +237,7 @@ def test_image_paths(tmp_path):
 def test_web(service, at):
     at.write("cats.pdf", "cats sleep all day")
     (at.images / "cat.png").write_bytes(b"img")
+    (at.docs.parent / "secret").write_bytes(b"no")
     server = web.serve(service, port=0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
@@ -221,12 +249,14 @@ def test_web(service, at):
 
     try:
         assert json.loads(call("POST", "/api/refresh")[1]) == {"chunks": 1, "sources": ["cats.pdf"], "images": 0}
-        assert json.loads(call("POST", "/api/gallery/refresh")[1])["images"] == json.loads(call("GET", "/api/gallery/status")[1])["images"] == 1
+        assert json.loads(call("POST", "/api/gallery/refresh")[1]) == json.loads(call("GET", "/api/gallery/status")[1]) == {"count": 1}
         told = dict(events.frames([call("POST", "/api/ask", {"question": "cats", "top_n": 1})[1].decode()]))
         assert list(told) == ["sources", "token", "done"] and told["sources"][0]["source"] == "cats.pdf"
         assert dict(events.frames([call("POST", "/api/ask", {"question": "cats", "top_n": 0})[1].decode()])).keys() == {"error"}
         assert json.loads(call("POST", "/api/gallery/search", {"query": "cat"})[1])[0]["source"] == "cat.png"
         assert call("GET", "/api/gallery/file/cat.png") == (200, b"img") and call("GET", "/api/gallery/file/..%2Fsecret")[0] == 404 and call("GET", "/nope")[0] == 404
+        (at.images / "a b%.png").write_bytes(b"odd")
+        assert call("GET", "/api/gallery/file/a%20b%25.png") == (200, b"odd")
         at.write("bad.pdf", "x")
         service.extractor = None
         assert call("POST", "/api/refresh")[0] == 500
