@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import math
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -14,41 +14,58 @@ from pyspark.sql.window import Window
 #: Runs of anything but ASCII white space: the words of a text.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the one that the context was given.
+
+    Where neither is set, one of our own, but only if everything runs on this machine: a local folder of a cluster's
+    machines isn't shared.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (path or "/tmp/checkpoints/passagework").rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one, removed when the driver's Python ends."""
+    """A fresh folder below the shared one; it goes when the driver's JVM ends, or before that by `remove`."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    files, hadoop = _file_system(spark, path)
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a work folder, at once."""
+    files, hadoop = _file_system(spark, path)
+    files.delete(hadoop, True)
+    files.cancelDeleteOnExit(hadoop)
+
+
 def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.mode("append").option("compression", "zstd")
     for key, value in options.items():
         writer = writer.option(key, value)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._work_path = path
+    return found
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the JVM is gone: whoever owns the folder cleans it
-            return
+def drop(*tables: DataFrame) -> None:
+    """Delete work tables (as `table` returned them) that nothing will read again."""
+    for found in tables:
+        remove(found.sparkSession, found._work_path)
 
 
 def whole(text: str | Column) -> Column:
@@ -89,3 +106,32 @@ def running_total(rows: DataFrame, groups: Sequence[str], bucket: str, order: Se
     base = totals.select(*keys, (F.sum("_total").over(before.orderBy(bucket)) - F.col("_total")).alias("_base"))
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(base, keys).withColumn(out, F.col("_base") + F.sum("_value").over(within) - F.col("_value")).drop("_base", "_value")
+
+
+#: Bits of one bitmap, as `bitmap_construct_agg` makes them; bits a key; bitmaps at most (64 MB, whatever the input).
+BITMAP, BITS_A_KEY, MOST_BITMAPS = 32_768, 16, 16_384
+
+
+def bit_filter(keys: DataFrame, key: str | Column) -> DataFrame:
+    """A filter of hashed keys: rows of (_bitmap_no, _bits), MOST_BITMAPS at most, with the number of all in `_bitmaps`.
+
+    Past some 30 million keys it lets more strangers through, and never loses a key.
+    """
+    n = keys.count()
+    bitmaps = min(MOST_BITMAPS, max(1, -(-n * BITS_A_KEY // BITMAP)))
+    hashed = keys.select(F.xxhash64(key).alias("_hash"))
+    rows = hashed.select(F.pmod("_hash", F.lit(bitmaps)).alias("_bitmap_no"), F.pmod(F.xxhash64("_hash"), F.lit(BITMAP)).alias("_bit"))
+    made = rows.groupBy("_bitmap_no").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    found = table(made, "filter")
+    found._bitmaps = bitmaps
+    return found
+
+
+def with_maybe(rows: DataFrame, key: str | Column, keys_filter: DataFrame) -> DataFrame:
+    """Adds `_maybe`: false where the filter has surely not seen the key. No shuffle: the filter is broadcast."""
+    rows = rows.withColumn("_key_hash", F.xxhash64(key)).withColumn("_bitmap_no", F.pmod("_key_hash", F.lit(keys_filter._bitmaps)))
+    joined = rows.join(F.broadcast(keys_filter), "_bitmap_no", "left")
+    bit = F.pmod(F.xxhash64("_key_hash"), F.lit(BITMAP)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    seen = F.getbit(byte, bit.bitwiseAND(7)) == 1
+    return joined.withColumn("_maybe", F.coalesce(seen, F.lit(False))).drop("_key_hash", "_bitmap_no", "_bits")

@@ -2,7 +2,7 @@
 
 Each node of a large-star step sends its larger neighbours to its smallest one, each node of a small-star step its
 smaller ones; the edges shrink to stars around the smallest node of every component, in a logarithmic number of rounds.
-Every round is written to the shared folder. Degrees may be as large as a component: the minimum is aggregated before
+Every round is written to the shared folder, and the round before is deleted. Degrees may be as large as a component: the minimum is aggregated before
 the shuffle and joined back, and the join's hot keys are split by adaptive execution.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,13 +35,17 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """From links (u, v) of longs: (node, root), root the smallest node of its component, for all nodes but the roots."""
+    """From links (u, v) of longs: (node, root), root the smallest node of its component, for all nodes but the roots.
+    The caller may `drop` it when it is of no more use."""
     edges = table(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(edges)
     while state[0]:
-        edges = table(_star(_star(edges, True), False), "links")
+        last, edges = edges, table(_star(_star(edges, True), False), "links")
+        drop(last)
         now = _state(edges)
         if now == state:
             break
         state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots._work_path = edges._work_path
+    return roots
