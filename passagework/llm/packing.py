@@ -136,9 +136,14 @@ def _coder(path: str) -> WordCoder:
 
 
 def _lowered(text: str | None) -> bytes:
-    """A text's bytes, A-Z lower-cased, as the tokenizer does itself; but not where that might write a special token."""
+    """A text's bytes, A-Z lower-cased, as the tokenizer does itself, so that more words are known.
+
+    Not where that might write a special token, and not where a combining mark (U+0300 to U+036F, bytes CC and CD) might
+    follow a letter: the tokenizer composes before it lower-cases, and T with a diaeresis has a composed form only as a
+    small letter.
+    """
     data = (text or "").encode("utf-8", "replace")
-    return data if b"<|" in data else data.lower()
+    return data if b"<|" in data or b"\xcc" in data or b"\xcd" in data else data.lower()
 
 
 def _together(texts: list[str | None]) -> Iterator[list[bytes]]:
