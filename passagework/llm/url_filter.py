@@ -2,20 +2,24 @@
 
 Rules: one fits its host and all subdomains where the path starts with the rule's; the longest wins.
 
-Templates, all in SQL functions:
+Templates, all in SQL functions, over distinct URLs (host and path), so that repeated rows change nothing:
 - Generalise. Segments that vary by their form (numbers, long hex, dates, tokens with digits) become `*` and keep a file
-  extension. What is left is one row a host and shape. Level by level, a node with many children, most of them rare, has
-  its rare children become `*` too.
-- Merge. Templates that differ in their last fixed segment are siblings. A labelled one whose share of good labels lies
-  within Z standard errors of all siblings' is pooled with those; others stand alone.
-- Reject. A template's purity is (good + ALPHA * PRIOR) / (labelled + ALPHA). Below REJECT its URLs are blocked.
+  extension. Then level by level, to the end of the longest path, a node with WIDE children or more that each stand for
+  fewer than RARE URLs on average has the children that stand for fewer become `*` too.
+- Merge. At every node of the tree, the labelled branches whose share of good labels lies within Z standard errors of all
+  of them are statistically similar and are merged: they pool their labels. Others stand alone.
+- Reject. Purities are smoothed from the root to the leaf. A node's estimate is (the sum of its labelled branches' shares
+  + ALPHA * its parent's estimate) / (labelled branches + ALPHA), the host's parent being PRIOR; a branch is one
+  observation however many URLs it has, as labels below one branch hang together. A template's purity is (good + ALPHA *
+  estimate) / (labelled + ALPHA) of its merged branch, or the estimate alone where that has no label. Below REJECT its
+  URLs are blocked.
 
 Labelled URLs are given as a column; without one the URLs that a rule decides are the labels (allow is good, block bad).
 
-Nulls: a null URL, or one without "://", has an empty host and path and no rule. Repeated rows are judged each. Paths of
-more than DEPTH segments share one last segment `**`. Empty tables give empty results. Further columns aren't read.
-A host may hold a third of all rows: they are summed by shape before they are shuffled, and the join back by
-(host, shape) is split by adaptive execution.
+Nulls: a null URL, or one without "://", has an empty host and path and no rule. Repeated rows are judged each, and alike.
+A URL labelled both ways counts once for either. Ties don't arise: nothing depends on an order. Empty tables give empty
+results. Further columns aren't read. A host may hold a third of all rows: its URLs are spread by path when they are made
+distinct and summed by shape before they are shuffled by host, and the join back by (host, shape) is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -29,8 +33,7 @@ from .common import table
 
 #: (verdict, host, path) of the production rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH = 8
-#: A node is wide with this many children or more, each seen fewer than RARE times on average; those seen less often go.
+#: A node is wide with this many children or more, each of fewer than RARE URLs on average; those of fewer go.
 WIDE, RARE = 24, 3.0
 ALPHA, PRIOR, REJECT, Z = 4.0, 0.9, 0.5, 1.96
 
@@ -58,47 +61,66 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
 
 def shape_of(path: Column) -> Column:
     """A path's segments, with those that vary by form as wildcards."""
-    segments = F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda s: F.regexp_replace(s, VARIABLE, r"*$1"))
-    return F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))).otherwise(segments)
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda s: F.regexp_replace(s, VARIABLE, r"*$1"))
 
 
 def _level(shapes: DataFrame, at: int) -> DataFrame:
     """Turns the rare children of wide nodes at a level into wildcards."""
-    prefix = F.slice("template", 1, at)
-    rows = shapes.withColumn("_prefix", prefix).withColumn("_child", F.try_element_at("template", F.lit(at + 1)))
-    children = rows.where("_child is not null").groupBy("host", "_prefix", "_child").agg(F.sum("n").alias("_seen"))
+    node = F.xxhash64(F.slice("template", 1, at))
+    rows = shapes.withColumn("_node", node).withColumn("_child", F.try_element_at("template", F.lit(at + 1)))
+    children = rows.where("_child is not null").groupBy("host", "_node", "_child").agg(F.sum("n").alias("_seen"))
     literal = F.when(~F.col("_child").startswith("*"), F.col("_seen"))
-    nodes = children.groupBy("host", "_prefix").agg(F.count(literal).alias("_children"), F.sum(literal).alias("_all"))
-    wide = nodes.where((F.col("_children") >= WIDE) & (F.col("_all") < RARE * F.col("_children"))).select("host", "_prefix")
-    gone = children.where((F.col("_seen") < RARE) & ~F.col("_child").startswith("*")).join(wide, ["host", "_prefix"], "left_semi")
-    gone = gone.select("host", "_prefix", "_child", F.lit(True).alias("_gone"))
-    tail = F.slice("template", at + 2, DEPTH + 1)
-    general = F.concat(F.col("_prefix"), F.array(F.regexp_replace("_child", r"^.*?(\.[A-Za-z]{1,5})?$", r"*$1")), tail)
-    joined = rows.join(gone, ["host", "_prefix", "_child"], "left")
+    nodes = children.groupBy("host", "_node").agg(F.count(literal).alias("_children"), F.sum(literal).alias("_all"))
+    wide = nodes.where((F.col("_children") >= WIDE) & (F.col("_all") < RARE * F.col("_children"))).select("host", "_node")
+    gone = children.where((F.col("_seen") < RARE) & ~F.col("_child").startswith("*")).join(wide, ["host", "_node"], "left_semi")
+    gone = gone.select("host", "_node", "_child", F.lit(True).alias("_gone"))
+    general = F.transform("template", lambda s, i: F.when(i == at, F.regexp_replace(s, r"^.*?(\.[A-Za-z]{1,5})?$", r"*$1")).otherwise(s))
+    joined = rows.join(gone, ["host", "_node", "_child"], "left")
     return joined.withColumn("template", F.when(F.col("_gone"), general).otherwise(F.col("template"))).select(*shapes.columns)
 
 
-def purities(shapes: DataFrame) -> DataFrame:
-    """From (host, shape, n, good, labelled): host, shape, template, purity."""
-    levels = min(DEPTH, shapes.agg(F.max(F.size("shape"))).first()[0] or 0)
+def templates(shapes: DataFrame) -> DataFrame:
+    """Adds the template to distinct shapes (host, shape, n)."""
+    # only where a host has many literal segments at a level can one of its nodes be wide there
+    segments = shapes.select("host", F.posexplode("shape").alias("_at", "_segment")).where(~F.col("_segment").startswith("*"))
+    levels = segments.groupBy("host", "_at").agg(F.countDistinct("_segment").alias("_n")).where(F.col("_n") >= WIDE).select("_at").distinct()
     shapes = shapes.withColumn("template", F.col("shape"))
-    for at in range(levels):
+    for (at,) in sorted(levels.collect()):
         shapes = table(_level(shapes, at), "templates")
-    by = shapes.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
-    fixed = F.transform("template", lambda s, i: F.when(~s.startswith("*") & (s != ""), i).otherwise(F.lit(-1)))
-    family = F.transform("template", lambda s, i: F.when(i == F.array_max(fixed), F.lit("*")).otherwise(s))
-    by = by.withColumn("family", family)
-    pooled = by.groupBy("host", "family").agg(F.sum("good").alias("_g"), F.sum("labelled").alias("_l"))
-    by = by.join(pooled, ["host", "family"])
-    share = (F.col("_g") + ALPHA * PRIOR) / (F.col("_l") + ALPHA)
-    error = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
-    alike = (F.col("labelled") > 0) & (F.abs(F.col("good") / F.greatest(F.col("labelled"), F.lit(1)) - share) <= Z * error)
-    merged = by.withColumn("_alike", alike)
-    kin = merged.where("_alike").groupBy("host", "family").agg(F.sum("good").alias("_kg"), F.sum("labelled").alias("_kl"))
-    merged = merged.join(kin, ["host", "family"], "left")
-    good, labelled = (F.when(F.col("_alike"), F.col(k)).otherwise(F.col(own)) for k, own in (("_kg", "good"), ("_kl", "labelled")))
-    purity = (good + ALPHA * PRIOR) / (labelled + ALPHA)
-    found = merged.select("host", "template", purity.alias("purity"))
+    return shapes
+
+
+def _chain(template: Column) -> Column:
+    """A template's nodes from the host's to the leaf's: hashes of the segments so far, the leaf's with an end of its own."""
+    start = F.array(F.xxhash64(F.lit("")))
+    nodes = F.aggregate(template, start, lambda so_far, s: F.concat(so_far, F.array(F.xxhash64(F.element_at(so_far, -1), s))))
+    return F.concat(nodes, F.array(F.xxhash64(F.element_at(nodes, -1), F.lit(0))))
+
+
+def purities(shapes: DataFrame) -> DataFrame:
+    """From (host, shape, n, good, labelled), n the URLs of a shape: host, shape, template, purity."""
+    shapes = table(templates(shapes), "templates")
+    by = shapes.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled")).withColumn("chain", _chain(F.col("template")))
+    steps = by.select("host", "good", "labelled", F.posexplode("chain").alias("_at", "node"), "chain")
+    steps = steps.withColumn("parent", F.when(F.col("_at") > 0, F.get("chain", F.col("_at") - 1)))
+    branches = steps.where("parent is not null and labelled > 0").groupBy("host", "parent", "node").agg(F.sum("good").alias("_g"), F.sum("labelled").alias("_l"))
+    share = F.col("_g") / F.col("_l")
+    nodes = branches.groupBy("host", "parent").agg(F.sum("_g").alias("_pg"), F.sum("_l").alias("_pl"), F.sum(share).alias("_shares"), F.count("*").alias("_branches"))
+    branches = branches.join(nodes, ["host", "parent"])
+    pooled = (F.col("_pg") + ALPHA * PRIOR) / (F.col("_pl") + ALPHA)
+    branches = branches.withColumn("_alike", F.abs(share - pooled) <= Z * F.sqrt(pooled * (1 - pooled) / F.col("_l")))
+    kin = branches.where("_alike").groupBy("host", "parent").agg(F.sum("_g").alias("_kg"), F.sum("_l").alias("_kl"))
+    merged = branches.where("_alike").join(kin, ["host", "parent"]).select("host", "parent", "node", F.col("_kg").alias("_g"), F.col("_kl").alias("_l"))
+    merged = merged.unionByName(branches.where("not _alike").select("host", "parent", "node", "_g", "_l"))
+    # the nodes of a template's chain, with what their branches say; then the fold from the host's to the last
+    walk = by.select("host", "template", F.posexplode("chain").alias("_at", "node"), F.size("chain").alias("_length"))
+    inner = walk.where("_at < _length - 1").join(nodes.select("host", F.col("parent").alias("node"), "_shares", "_branches"), ["host", "node"], "left")
+    inner = inner.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_shares", F.lit(0.0)).alias("s"), F.coalesce("_branches", F.lit(0)).alias("k")))).alias("_path"))
+    estimate = F.aggregate("_path", F.lit(PRIOR), lambda e, x: (x["s"] + ALPHA * e) / (x["k"] + ALPHA))
+    leaves = by.select("host", "template", F.element_at("chain", -1).alias("node"), F.get("chain", F.size("chain") - 2).alias("parent"))
+    found = inner.select("host", "template", estimate.alias("_estimate")).join(leaves.join(merged, ["host", "parent", "node"], "left"), ["host", "template"])
+    good, labelled = F.coalesce("_g", F.lit(0)), F.coalesce("_l", F.lit(0))
+    found = found.select("host", "template", ((good + ALPHA * F.col("_estimate")) / (labelled + ALPHA)).alias("purity"))
     return shapes.select("host", "shape", "template").join(found, ["host", "template"])
 
 
@@ -108,7 +130,12 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labe
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), *([F.col(label).cast("long").alias("_label")] if label else []))
     rows = rows.withColumn("_found", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("shape", shape_of(F.col("path")))
     given = F.col("_label") if label else F.when(F.col("_found.verdict") == "allow", 1).when(F.col("_found.verdict") == "block", 0)
-    shapes = rows.withColumn("_given", given).groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(F.coalesce("_given", F.lit(0))).alias("good"), F.count("_given").alias("labelled"))
+    # a URL that is labelled both ways counts once for either
+    urls = rows.withColumn("_given", given).groupBy("host", "path").agg(
+        F.max(F.when(F.col("_given") == 1, 1).otherwise(0)).alias("_good"), F.max(F.when(F.col("_given") == 0, 1).otherwise(0)).alias("_bad")
+    )
+    urls = urls.select("host", shape_of(F.col("path")).alias("shape"), "_good", "_bad")
+    shapes = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("_good").alias("good"), F.sum(F.col("_good") + F.col("_bad")).alias("labelled"))
     found = table(purities(table(shapes, "shapes")), "purities")
     verdict = F.coalesce(F.col("_found.verdict"), F.when(F.col("purity") < REJECT, "block").otherwise("allow"))
     joined = rows.join(found, ["host", "shape"])
