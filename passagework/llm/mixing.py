@@ -1,16 +1,21 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-A source's documents wait in a shuffled order (md5 of doc_id, a pass at a time). A packet that ends after c of its
-source's words has the virtual finish time c / target. All packets are sorted by it, over the whole corpus, and the mix
-ends when the total budget is spent. Where a document straddles virtual time 1 it is split into two packets there, as
-fluid service would have it; so every source's words meet its target to the word.
+A source's documents wait in a shuffled order (md5 of doc_id, a pass at a time) and are served in packets: a document
+whole, or in packets of QUANTUM words and a rest where it is longer, as a fair queue does with long packets. A packet
+that ends after c of its source's words has the virtual finish time c / target. All packets are range-sorted by it, over
+the whole corpus, and the mix ends when the total budget is spent; at most the one packet at that end is split. A source
+so gets its target to within some QUANTUM words.
+
+The range sort: virtual time is cut into slices, about as many as a slice has packets. The slices' sums tell in which one
+the budget ends; the slices before it are served, those after it aren't, and only that one need be sorted.
 
 Targets: the budget is shared by weight; a source takes at most `max_repeats` times its words, the excess is shared
 again by weight until none is above. That fixed point is min(max_repeats * size, level * weight) with one level.
 
 Nulls: a null text has no words; a null source is a source of its own, the last. Documents without words take none.
-Ties of md5 (repeated doc_ids) go by doc_id and size. Empty tables give empty results. Further columns pass through `mix`.
-One row a source (not a document) goes through a single window: mix weights are set by source, so there are few.
+Ties of md5 (repeated doc_ids) go by doc_id, size and row, ties of virtual finish by source and place. Empty tables give
+empty results. Further columns pass through `mix`.
+One row a source and one row a slice (not a document) go through a single window.
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import buckets_for, n_words, never_null, running_total, table, whole, whole_row
+from .common import bit_filter, buckets_for, n_words, never_null, running_total, table, whole, whole_row, with_maybe
 
-#: Slices of virtual time in the global range sort: each gets an equal share of the mix.
-SLICES = 512
+#: Words of the longest packet.
+QUANTUM = 256
 
 
 def source_targets(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
@@ -59,7 +64,8 @@ def schedule(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     targets = table(source_targets(rows, weights, share, max_repeats).coalesce(1), "mix-targets")
     budget = targets.agg(F.sum("cut")).first()[0] or 0
 
-    digits = buckets_for(rows.count())
+    n_rows = rows.count()
+    digits = buckets_for(n_rows)
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     named = targets.withColumnRenamed("source", "_source")
     rows = rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -68,22 +74,27 @@ def schedule(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     rows = running_total(rows, ["source_no"], "_bucket", order, F.col("size"), "first_start").drop("_digest", "_bucket")
     rows = table(rows, "mix-queued")
 
-    packets = rows.select("row_id", "size", "first_start", "source_size", "source_no", "target", "cut", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("_pass"))
-    start = F.col("first_start") + F.col("_pass") * F.col("source_size")
-    packets = packets.withColumn("_start", start).withColumn("_finish", start + F.col("size"))
-    straddles = (F.col("_start") < F.col("cut")) & (F.col("_finish") > F.col("cut"))
-    parts = F.when(straddles, F.array(F.struct(F.col("_start").alias("a"), F.col("cut").alias("b")), F.struct(F.col("cut").alias("a"), F.col("_finish").alias("b"))))
-    packets = packets.withColumn("_part", F.explode(F.coalesce(parts, F.array(F.struct(F.col("_start").alias("a"), F.col("_finish").alias("b"))))))
-    packets = packets.select(
-        "row_id", "source_no", F.col("_part.a").alias("_start"), (F.col("_part.b") - F.col("_part.a")).alias("_words"),
-        F.coalesce(F.try_divide(F.col("_part.b"), F.col("target")), F.lit(0.0)).alias("virtual_finish"),
-    )
-    packets = packets.withColumn("_slice", F.least(F.floor(F.col("virtual_finish") * SLICES), F.lit(4 * SLICES)))
+    # a packet's first word in its document, before that its document's pass
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(QUANTUM)))
+    packets = rows.where("size > 0").select("row_id", "size", "first_start", "source_size", "source_no", "target", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("_pass"))
+    packets = packets.select("*", starts.alias("_at")).withColumn("_words", F.least(F.lit(QUANTUM), F.col("size") - F.col("_at")))
+    start = F.col("first_start") + F.col("_pass") * F.col("source_size") + F.col("_at")
+    packets = packets.select("row_id", "source_no", start.alias("_start"), "_words", F.try_divide(start + F.col("_words"), F.col("target")).alias("virtual_finish"))
+    # the budget ends near virtual time 1; far beyond it nothing need be told apart
+    slices = 16 ** buckets_for((rows.agg(F.sum("size")).first()[0] or 0) // QUANTUM + n_rows)
+    packets = packets.withColumn("_slice", F.least(F.floor(F.col("virtual_finish") * slices), F.lit(4 * slices)))
+    sums = packets.groupBy("_slice").agg(F.sum("_words").alias("_total"))
+    sums = sums.select("_slice", "_total", (F.sum("_total").over(Window.partitionBy(F.lit(0)).orderBy("_slice")) - F.col("_total")).alias("_base"))
+    last = sums.where(F.col("_base") < budget).agg(F.max(F.struct("_slice", "_base")).alias("_")).select("_.*").first()
+    end, served = (-1, 0) if last[0] is None else last
+    before = packets.where(F.col("_slice") < end).groupBy("row_id").agg(F.sum("_words").alias("taken"))
     order = [F.col("virtual_finish"), F.col("source_no"), F.col("_start"), F.col("row_id")]
-    packets = running_total(packets, [], "_slice", order, F.col("_words"), "_before")
-    served = F.greatest(F.lit(0), F.least(F.col("_words"), F.lit(budget) - F.col("_before")))
-    taken = packets.groupBy("row_id").agg(F.sum(served).alias("taken"))
-    return rows.join(taken, "row_id").select("doc_id", "source", "size", "source_size", "target", "first_start", "taken", "text_hash")
+    within = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    there = packets.where(F.col("_slice") == end).withColumn("_before", F.sum("_words").over(within) - F.col("_words"))
+    there = there.select("row_id", F.greatest(F.lit(0), F.least(F.col("_words"), F.lit(budget - served) - F.col("_before"))).alias("taken"))
+    taken = before.unionByName(there).groupBy("row_id").agg(F.sum("taken").alias("taken"))
+    rows = rows.join(taken, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "first_start", "taken", "text_hash")
 
 
 def mix_table(docs: DataFrame, weights: Sequence[float] = (3, 1, 2)) -> DataFrame:
@@ -93,14 +104,19 @@ def mix_table(docs: DataFrame, weights: Sequence[float] = (3, 1, 2)) -> DataFram
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
     """The mix as documents, whole ones only: each comes as often as its taken words fill it, rounded to the nearest
-    (none, once, or up to max_repeats times). Repeated rows share what their words were given."""
+    (none, once, or up to max_repeats times). Rows of the same document share what their words were given, in the order
+    of a hash of their other columns; rows that are equal in all columns are folded before they are shuffled."""
     key = ["_doc", "_source", "_size", "_hash"]
     plan = schedule(docs, weights, share, max_repeats).select(never_null("doc_id").alias("_doc"), never_null("source").alias("_source"), F.col("size").alias("_size"), F.col("text_hash").alias("_hash"), "taken")
     copies = F.when(F.col("_size") > 0, F.floor(F.col("taken") / F.col("_size") + 0.5)).otherwise(0)
-    plan = plan.groupBy(*key).agg(F.sum(copies).cast("long").alias("_copies"), F.count("*").alias("_rows"))
+    plan = table(plan.groupBy(*key).agg(F.sum(copies).cast("long").alias("_copies"), F.count("*").alias("_rows")), "mix-plan")
     rows = docs.select(whole_row(docs), never_null("doc_id").alias("_doc"), never_null("source").alias("_source"), n_words("text").alias("_size"), F.xxhash64(whole("text")).alias("_hash"))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    rows = rows.withColumn("_nth", nth).join(plan, key)
-    upto = lambda n: F.floor(n * F.col("_copies") / F.col("_rows"))
-    rows = rows.withColumn("_n", upto(F.col("_nth")) - upto(F.col("_nth") - 1)).where("_n > 0")
-    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
+    again = bit_filter(plan.where("_rows > 1"), F.struct(*key))
+    rows = with_maybe(rows, F.struct(*key), again)
+    once = rows.where("not _maybe").join(plan, key).withColumn("_n", F.col("_copies"))
+    alike = rows.where("_maybe").groupBy(*key, F.xxhash64("_row").alias("_alike")).agg(F.first("_row").alias("_row"), F.count("*").alias("_same"))
+    upto = F.sum("_same").over(Window.partitionBy(*key).orderBy("_alike"))
+    share_of = lambda n: F.floor(n * F.col("_copies") / F.col("_rows"))
+    several = alike.withColumn("_upto", upto).join(plan, key).withColumn("_n", share_of(F.col("_upto")) - share_of(F.col("_upto") - F.col("_same")))
+    given = once.select("_row", "_n").unionByName(several.select("_row", "_n")).where("_n > 0")
+    return given.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

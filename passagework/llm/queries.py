@@ -128,15 +128,19 @@ levels AS (
             / sum(weight) OVER (ORDER BY full_size / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighted),
 chosen AS (SELECT max(level) AS level FROM levels WHERE level * weight <= full_size),
-targets AS (SELECT source, source_size, least(full_size::DOUBLE, c.level * weight) AS target FROM levels, chosen c),
+targets AS (SELECT source, source_no, source_size, least(full_size::DOUBLE, c.level * weight) AS target FROM levels, chosen c),
 queued AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS cut,
+  SELECT d.*, row_number() OVER () AS r, t.source_no, t.source_size, t.target,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, cut - start)) + greatest(0, least(size, cut - start - source_size)))::BIGINT AS taken
-FROM queued
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+packets AS (
+  SELECT r, source_no, start + pass * source_size + k AS start, least(256, size - k) AS words, (start + pass * source_size + k + least(256, size - k)) / target AS finish
+  FROM (SELECT *, unnest(range(0, size, 256)) AS k FROM (SELECT *, unnest([0, 1]) AS pass FROM queued))),
+served AS (
+  SELECT r, greatest(0, least(words, (SELECT sum(floor(target)) FROM targets) - (sum(words) OVER (ORDER BY finish, source_no, start ROWS UNBOUNDED PRECEDING) - words))) AS taken FROM packets)
+SELECT doc_id, size, source_size, target, coalesce(t.taken, 0)::BIGINT AS taken
+FROM queued LEFT JOIN (SELECT r, sum(taken) AS taken FROM served GROUP BY r) t USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
