@@ -36,8 +36,8 @@ SAMPLES = 64
 #: Samples that one aggregation takes; many more make its generated code too long to be compiled.
 AT_ONCE = 32
 GAMMA_BITS, SHIFT_BITS = 13, 12
-#: Characters of text in a slice, a task's share, about.
-SLICE_CHARS = 8_000_000
+#: Characters of text in a slice, a task's share, and its documents, about.
+SLICE_CHARS, SLICE_ROWS = 8_000_000, 40_000
 
 
 def _sample(term: Column, part: Column, k: int, log_weight: Column) -> Column:
@@ -163,8 +163,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     key = ["_td", "_th"]
     ring = table(chained(docs), "ring-links")
-    n_chars, copies = ring.agg(F.sum("n_chars"), F.max("copies")).first()
-    slices = max(1, math.ceil((n_chars or 0) / SLICE_CHARS))
+    n_chars, n_rows, copies = ring.agg(F.sum("n_chars"), F.count("*"), F.max("copies")).first()
+    slices = max(1, math.ceil(max((n_chars or 0) / SLICE_CHARS, n_rows / SLICE_ROWS)))
     all_keys = ["_slice", *key]
 
     def dealt(rows: DataFrame) -> DataFrame:
