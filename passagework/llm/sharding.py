@@ -3,6 +3,9 @@
 Every record key scores each shard, w / -ln(u) with u in (0, 1) from md5(key:shard), and goes to the highest score. A
 shard's chance is its weight's share; a further shard changes no other score, so it only takes rows into itself.
 
+The law of `shard_documents` is `key`: doc_id and the shard count decide and nothing else, so rows of equal texts and
+different doc_ids may lie in different shards, and rows of equal doc_ids lie in one.
+
 Nulls: a null key hashes as the empty string. Repeated keys go to the same shard. An empty table gives an empty result.
 Columns beyond the key pass through; names starting with an underscore are the operator's own.
 """
