@@ -26,7 +26,12 @@ class Generator(Protocol):
 
 
 class Extractor(Protocol):
-    def blocks(self, content: bytes) -> list[tuple[list[int], str]]: ...
+    """layer: the text that each page of a file already has; blocks: pages and their text, read as `ocr` says (none,
+    regions, full or full_legacy)."""
+
+    def layer(self, content: bytes) -> list[str]: ...
+
+    def blocks(self, content: bytes, ocr: str) -> list[tuple[list[int], str]]: ...
 
 
 class HashEmbedder:
@@ -70,11 +75,15 @@ class QuotingGenerator:
 
 
 class PlainTextExtractor:
-    """Reads UTF-8 text as a document; a form feed ends a page."""
+    """Reads UTF-8 text as a document; a form feed ends a page. Has no eyes: what `ocr` asks for is left undone."""
+
+    def layer(self, content: bytes) -> list[str]:
+        if content.startswith(b"%PDF-"):
+            raise ValueError("this extractor reads plain text; give the service one that reads PDF")
+        return content.decode("utf-8", "ignore").split("\f")
 
-    def blocks(self, content: bytes) -> list[tuple[list[int], str]]:
-        pages = content.decode("utf-8", "ignore").split("\f")
-        return [([number], text) for number, text in enumerate(pages, 1)]
+    def blocks(self, content: bytes, ocr: str = "none") -> list[tuple[list[int], str]]:
+        return [([number], text) for number, text in enumerate(self.layer(content), 1)]
 
 
 class NameCaptioner:

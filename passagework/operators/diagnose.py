@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
 from ..schema import FULL_OCR, LEGACY_RATIO, MIN_PAGE_CHARS, OCR_TRIGGER
 
 #: Characters that text in legacy font encodings is full of; fixed values.
@@ -51,3 +52,27 @@ def page_spans(items: DataFrame) -> DataFrame:
     pages of its items, sorted."""
     keyed = items.where(F.size("prov") > 0).select("source", F.col("prov")[0].alias("page"), F.explode("prov").alias("p"))
     return keyed.groupBy("source", "page").agg(F.array_sort(F.collect_set("p")).alias("pages"))
+
+
+def page_markdown(items: DataFrame) -> DataFrame:
+    """From items (source, page, item_no, kind, level, text): source, page, text: a page's items in order as Markdown.
+
+    Headings get a number sign a level, list items a dash, code a fence; images are dropped; nothing is escaped. Items
+    without text leave no mark. Blank lines stand between items, and none between the items of a list."""
+    marked = (
+        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.greatest(F.col("level"), F.lit(1))), F.lit(" "), "text"))
+        .when(F.col("kind") == "list", F.concat(F.lit("- "), "text")).when(F.col("kind") == "code", F.concat(F.lit("```\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
+    )
+    rows = items.where(F.col("kind") != "image").where(~is_blank(F.col("text"))).withColumn("_text", marked)
+    listed = F.array_sort(F.collect_list(F.struct("item_no", (F.col("kind") == "list").alias("li"), F.col("_text").alias("t"))))
+    pages = rows.groupBy("source", "page").agg(listed.alias("_items"))
+    joint = lambda x, i: F.when(i == 0, "").when(x["li"] & F.get("_items", i - 1)["li"], "\n").otherwise("\n\n")
+    return pages.select("source", "page", F.array_join(F.transform("_items", lambda x, i: F.concat(joint(x, i), x["t"])), "").alias("text"))
+
+
+def page_blocks(items: DataFrame) -> DataFrame:
+    """source, block_no, pages, text from items that also have prov (the pages that they stand on): one block a page, in
+    page order; blank pages are left out, and a page without spans covers itself."""
+    spans = page_spans(items.select("source", "prov"))
+    blocks = page_markdown(items).join(spans, ["source", "page"], "left")
+    return blocks.select("source", F.col("page").alias("block_no"), F.coalesce("pages", F.array("page")).alias("pages"), "text")

@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from ..functions.text import sanitize
 from ..models import Captioner, Embedder, Extractor
 from ..operators.chunk import chunks_of, documents_of
+from ..operators.diagnose import ocr_decisions
 from ..operators.lexical import postings_of
 from ..sources.postings import lengths_of
 from ..sources.store import Store
@@ -79,15 +80,28 @@ def embedded(df: DataFrame, column: str, embedder: Embedder) -> DataFrame:
     return df.withColumn("embedding", embed(F.col(column)))
 
 
+def routed(files: DataFrame, extractor: Extractor) -> DataFrame:
+    """Adds ocr to files (source, content): how their text layers say that they are to be read."""
+
+    def layers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(s, sanitize(t)) for s, c in zip(batch["source"], batch["content"]) for t in extractor.layer(c)]
+            yield pd.DataFrame(rows, columns=["source", "text"])
+
+    modes = ocr_decisions(files.select("source", "content").mapInPandas(layers, "source string, text string")).select("source", "ocr")
+    return files.join(modes, "source", "left").withColumn("ocr", F.coalesce("ocr", F.lit("none")))
+
+
 def extracted(files: DataFrame, extractor: Extractor) -> DataFrame:
     """Blocks (source, block_no, pages, text) of files (source, content)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(s, i, pages, sanitize(t)) for s, c in zip(batch["source"], batch["content"]) for i, (pages, t) in enumerate(extractor.blocks(c))]
+            files = zip(batch["source"], batch["content"], batch["ocr"])
+            rows = [(s, i, pages, sanitize(t)) for s, c, ocr in files for i, (pages, t) in enumerate(extractor.blocks(c, ocr))]
             yield pd.DataFrame(rows, columns=["source", "block_no", "pages", "text"])
 
-    return files.select("source", "content").mapInPandas(read, "source string, block_no int, pages array<int>, text string")
+    return routed(files, extractor).select("source", "content", "ocr").mapInPandas(read, "source string, block_no int, pages array<int>, text string")
 
 
 def _touched(store: Store, changed: DataFrame) -> list[int]:

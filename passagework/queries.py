@@ -16,7 +16,7 @@ from .functions.numeric import sigmoid
 from .functions.text import basename, citations, collapse_ws, fixed3, html_escape, is_blank, linked_citations, tokens, truncated
 from .operators import answer as an
 from .operators import chunk as ch
-from .operators import diagnose, fuse, lexical
+from .operators import cells, diagnose, fuse, lexical
 from .operators.dense import dense_search
 from .operators.gallery import gallery_plan, gallery_search
 from .operators.rerank import rerank
@@ -183,6 +183,15 @@ def knn_all_items(spark: SparkSession, d: str) -> DataFrame:
     return dense_search(corpus(spark, d).where("embedding is not null"), everyone, 5).select(HITS)
 
 
+@query()
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate search; the tests hold its recall against the exact one."""
+    pool = corpus(spark, d).where("embedding is not null")
+    model = cells.fit(pool)
+    indexed = cells.with_cell(pool.select("id", "ord", "source", "embedding"), model, "embedding", "cell").where("cell is not null")
+    return cells.cell_search(indexed, model, pointed(spark, d), 10).select(HITS)
+
+
 @query(f"WITH {LEXICAL_SQL} SELECT term, ord, source, dl::INT AS dl, tf FROM tf JOIN documents ON doc_id = ord")
 def stored_postings(spark: SparkSession, d: str) -> DataFrame:
     """The stored index itself."""
@@ -303,6 +312,37 @@ def page_spans(spark: SparkSession, d: str) -> DataFrame:
     return diagnose.page_spans(docs(spark, d).select("source", prov.alias("prov")))
 
 
+ITEMS_SQL = """items AS (
+  SELECT source, (doc_id % 40)::INT AS page, doc_id::INT AS item_no, ['heading', 'list', 'list', 'text', 'image', 'code'][(doc_id % 6 + 1)::INT] AS kind, (doc_id % 4)::INT AS level, text,
+         CASE WHEN doc_id % 8 = 0 THEN [] ELSE [(doc_id % 40)::INT, (doc_id % 40 + doc_id % 3)::INT] END AS prov FROM documents),
+marked AS (
+  SELECT *, CASE kind WHEN 'heading' THEN repeat('#', greatest(level, 1)) || ' ' || text WHEN 'list' THEN '- ' || text WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' ELSE text END AS t,
+         lag(kind) OVER (PARTITION BY source, page ORDER BY item_no) AS last
+  FROM items WHERE kind <> 'image' AND trim(regexp_replace(text, '[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+', ' ', 'g')) <> ''),
+markdown AS (
+  SELECT source, page, string_agg(CASE WHEN last IS NULL THEN '' WHEN kind = 'list' AND last = 'list' THEN chr(10) ELSE chr(10) || chr(10) END || t, '' ORDER BY item_no) AS text
+  FROM marked GROUP BY source, page)"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as items of their source's pages."""
+    page, n = (F.col("doc_id") % 40).cast("int"), F.col("doc_id")
+    kind = F.get(F.array(*map(F.lit, ("heading", "list", "list", "text", "image", "code"))), (n % 6).cast("int"))
+    prov = F.when(n % 8 == 0, F.array().cast("array<int>")).otherwise(F.array(page, (n % 40 + n % 3).cast("int")))
+    return docs(spark, d).select("source", page.alias("page"), n.cast("int").alias("item_no"), kind.alias("kind"), (n % 4).cast("int").alias("level"), "text", prov.alias("prov"))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT * FROM markdown")
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return diagnose.page_markdown(_items(spark, d))
+
+
+@query(f"""WITH {ITEMS_SQL}, spans AS (SELECT source, prov[1] AS page, list_sort(list_distinct(flatten(list(prov)))) AS pages FROM items WHERE len(prov) > 0 GROUP BY source, prov[1])
+SELECT source, page AS block_no, coalesce(pages, [page]) AS pages, text FROM markdown LEFT JOIN spans USING (source, page)""")
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return diagnose.page_blocks(_items(spark, d))
+
+
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     pages = F.array((F.col("doc_id") % 9 + 1).cast("int"), (F.col("doc_id") % 9 + 2).cast("int"))
     return docs(spark, d).select("source", F.col("doc_id").cast("int").alias("block_no"), pages.alias("pages"), "text")

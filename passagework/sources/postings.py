@@ -60,7 +60,10 @@ def kept_index(spark: SparkSession, folder: str, corpus: DataFrame) -> PostingsI
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     seen = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in files.listStatus(path))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/passagework"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "/tmp/checkpoints/passagework"
     at = f"{base.rstrip('/')}/postings-{hashlib.md5(repr((folder, seen, spark.sparkContext.applicationId)).encode()).hexdigest()}"
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/lengths/_SUCCESS")
     store = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

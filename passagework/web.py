@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import mimetypes
 import threading
 from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -45,7 +46,17 @@ def image_path(folder: str | None, name: str) -> Path | None:
     return path if path.is_file() else None
 
 
-def handler(service: Service) -> type[BaseHTTPRequestHandler]:
+def site_file(folder: str | None, path: str) -> Path | None:
+    """A static file below the folder, `/` being its index.html; None for anything else."""
+    if not folder:
+        return None
+    root = Path(folder).resolve()
+    found = (root / unquote(path.split("?")[0]).lstrip("/").replace("\0", "")).resolve()
+    found = found / "index.html" if found.is_dir() else found
+    return found if found.is_relative_to(root) and found.is_file() else None
+
+
+def handler(service: Service, site: str | None = None) -> type[BaseHTTPRequestHandler]:
     refreshing = threading.Lock()  # one refresh at a time; readers use the published snapshot
 
     class Handler(BaseHTTPRequestHandler):
@@ -72,15 +83,18 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             elif self.path == "/api/gallery/status":
                 self._json({"count": service.images_known()})
             elif self.path.startswith("/api/gallery/file/"):
-                path = image_path(service.images, self.path.removeprefix("/api/gallery/file/"))
-                if path is None:
-                    self._json({"detail": "not found"}, 404)
-                else:
-                    self.send_response(200)
-                    self.end_headers()
-                    self.wfile.write(path.read_bytes())
+                self._file(image_path(service.images, self.path.removeprefix("/api/gallery/file/")))
             else:
+                self._file(site_file(site, self.path))
+
+        def _file(self, path: Path | None) -> None:
+            if path is None:
                 self._json({"detail": "not found"}, 404)
+                return
+            self.send_response(200)
+            self.send_header("Content-Type", mimetypes.guess_type(path.name)[0] or "application/octet-stream")
+            self.end_headers()
+            self.wfile.write(path.read_bytes())
 
         def do_POST(self) -> None:
             request = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
@@ -108,6 +122,6 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
     return Handler
 
 
-def serve(service: Service, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
-    """A server, not yet running: call serve_forever."""
-    return ThreadingHTTPServer((host, port), handler(service))
+def serve(service: Service, host: str = "127.0.0.1", port: int = 8000, site: str | None = None) -> ThreadingHTTPServer:
+    """A server, not yet running: call serve_forever. `site`: a folder of static files to serve beside the routes."""
+    return ThreadingHTTPServer((host, port), handler(service, site))

@@ -234,6 +234,38 @@ def test_image_paths(tmp_path):
         assert web.image_path(str(tmp_path / "in"), name) is None
 
 
+def test_a_site_is_served_and_nothing_beside_it(tmp_path):
+    (tmp_path / "site" / "deep").mkdir(parents=True)
+    (tmp_path / "site" / "index.html").write_text("home")
+    (tmp_path / "site" / "deep" / "a b.js").write_text("x")
+    (tmp_path / "secret").write_text("no")
+    site = str(tmp_path / "site")
+    assert web.site_file(site, "/").read_text() == "home" and web.site_file(site, "/deep/a%20b.js?v=1").read_text() == "x"
+    for path in ("/../secret", "/%2e%2e/secret", "/nope", "/deep", "//etc/passwd"):
+        assert web.site_file(site, path) is None
+    assert web.site_file(None, "/") is None
+
+
+def test_text_layers_decide_how_files_are_read(spark):
+    class Pages:
+        def layer(self, content):
+            return content.decode().split("|")
+
+        def blocks(self, content, ocr):
+            return [([1], ocr)]
+
+    long = "x" * 200
+    files = spark.createDataFrame([(n, t.encode()) for n, t in (("scan", "|".join([""] * 9 + [long])), ("text", long), ("mixed", "|".join(["", long, long])), ("old", "ªº" * 100))], "source string, content binary")
+    assert {r.source: r.text for r in lifecycle.extracted(files, Pages()).collect()} == {"scan": "full", "text": "none", "mixed": "regions", "old": "full_legacy"}
+
+
+def test_plain_text_is_not_made_of_pdf(service, at, spark):
+    (at.docs / "real.pdf").write_bytes(b"%PDF-1.7 ...")
+    with pytest.raises(Exception, match="reads plain text"):
+        service.refresh()
+    assert service.store.current() is None
+
+
 def test_web(service, at):
     at.write("cats.pdf", "cats sleep all day")
     (at.images / "cat.png").write_bytes(b"img")
