@@ -137,13 +137,14 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, text_hash, component_id of every document: component_id is the smallest doc_id of its component."""
+    """doc_id, fp, text_hash, root, component_id of every document: component_id is the smallest doc_id of its component,
+    root tells components apart whose documents have no doc_id."""
     rows = table(docs.select("doc_id", F.xxhash64(whole("text")).alias("text_hash"), simhash(whole("text")).alias("fp")), "simhash")
     prints = table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(links(prints)).withColumnRenamed("node", "fp")
     prints = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = prints.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = table(prints.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
+    named = table(prints.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes")
     return rows.join(named, "fp")
 
 
@@ -156,6 +157,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id (of equal ids the smallest text hash), with
     all its columns."""
     found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy(never_null("doc_id").alias("_doc")).agg(F.min("text_hash").alias("_text"))
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("text_hash").alias("_text"), never_null("doc_id").alias("_doc"))).alias("_")).select("_.*")
     rows = docs.select(whole_row(docs), never_null("doc_id").alias("_doc"), F.xxhash64(whole("text")).alias("_text"))
     return rows.join(keep, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select("_row.*")
