@@ -1,11 +1,14 @@
 """Exact deduplication through a log-structured merge index of text digests.
 
-- Flush: each input slice is a memtable. Its rows become (digest, identifier, copies), sorted by digest, one file a
-  task: a sorted run whose Parquet footer holds a Bloom filter of its digests. No shuffle.
+- Flush: each input slice is a memtable. Its rows become (digest, identifier), sorted by digest, one file a task: a
+  sorted run. No shuffle.
 - Compact: all runs merge into one sorted run with one row a digest: the copies and the identifier that stays. Partial
-  sums come before the shuffle, so a digest that a third of the rows share costs one row a task.
-- Hits (digests of more than one row) receive byte verification: the smallest and the largest text of a digest must be
-  the same bytes. Digests that fail are told apart by the text itself.
+  sums come before the shuffle, so a digest that a third of the rows share costs one row a task. Spark merges by hash
+  and sorts what comes out; it has no merge of sorted files.
+- Filter: the hits (digests of more than one row) go into a filter of bits, of 64 MB at most, that is broadcast. Only
+  texts that it lets through are read any further: nothing else is shuffled, neither to verify nor to deduplicate.
+- Verify: the smallest and the largest text of a hit must be the same bytes. Digests that fail are told apart by the
+  text itself.
 
 "Smallest identifier" is smallest in the index's order; `keep="largest"` turns that order round.
 
@@ -16,13 +19,10 @@ not read by the index and pass through `deduplicate`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import never_null, new_path, whole, whole_row
+from .common import bit_filter, never_null, new_path, table, whole, whole_row, with_maybe
 
 #: A digest of more than this share of the rows (and LEAST_HOT rows) is joined by broadcast: no more than 1 / HOT_SHARE
 #: digests, 5,000 rows of some 50 bytes, can be so common.
@@ -44,7 +44,7 @@ class DigestIndex:
 
     def _write(self, df: DataFrame, to: str, mode: str) -> None:
         sorted_runs = df.sortWithinPartitions("digest")
-        sorted_runs.write.mode(mode).option("compression", "zstd").option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.path}/{to}")
+        sorted_runs.write.mode(mode).option("compression", "zstd").parquet(f"{self.path}/{to}")
 
     def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Append the sorted runs of these documents."""
@@ -62,11 +62,20 @@ class DigestIndex:
     def level1(self) -> DataFrame:
         return self.spark.read.schema("digest binary, copies long, keep_id long").parquet(f"{self.path}/level1")
 
-    def collisions(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """Byte verification of all hits: the digests that stand for more than one text (none, in practice)."""
-        hits = self.level1().where("copies > 1").select("digest")
+    def hits(self) -> DataFrame:
+        """The filter of the digests that more than one row has."""
+        return bit_filter(self.level1().where("copies > 1"), "digest")
+
+    def collisions(self, docs: DataFrame, hits: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+        """Byte verification of all hits: the digests that stand for more than one text (none, in practice).
+
+        The filter stands in the scan, and every task folds its rows of a digest to the smallest and the largest text
+        before anything is shuffled: texts without a copy stay where they are, and a text that a third of the rows
+        share travels twice a task. What the filter lets through by mistake has one text and so is no collision.
+        """
         texts = docs.select(whole(text_col).alias("_text")).withColumn("digest", digest_of(F.col("_text")))
-        spread = texts.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("_text").alias("_low"), F.max("_text").alias("_high"))
+        texts = with_maybe(texts, "digest", hits or self.hits()).where("_maybe")
+        spread = texts.groupBy("digest").agg(F.min("_text").alias("_low"), F.max("_text").alias("_high"))
         return spread.where("_low <> _high").select("digest")
 
     def probe(self) -> DataFrame:
@@ -84,23 +93,6 @@ class DigestIndex:
         )
 
 
-@contextmanager
-def _pruned_by_filter(spark: SparkSession) -> Iterator[None]:
-    """Lets the planner put a Bloom filter of the hits' digests under the scan of texts however small that scan is, so
-    that texts without a copy aren't shuffled to be verified."""
-    prefix = "spark.sql.optimizer.runtime.bloomFilter."
-    # 8 MB at most, whatever the input; past some ten million digests it lets more texts through, and loses none
-    wanted = {"applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "1PB", "expectedNumItems": "4000000", "numBits": str(64 << 20)}
-    before = {key: spark.conf.get(prefix + key) for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(prefix + key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(prefix + key, value)
-
-
 def _plain(docs: DataFrame, text_col: str, id_col: str, keep: str) -> DataFrame:
     """Groups by the text itself, for digests that stand for more than one text."""
     best = F.max(id_col) if keep == "largest" else F.min(id_col)
@@ -111,20 +103,23 @@ def _plain(docs: DataFrame, text_col: str, id_col: str, keep: str) -> DataFrame:
     return joined.select(F.col("_digest").alias("digest"), "id", "keep_id", "copies", kept.alias("kept"))
 
 
-def decide(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """One row a document: digest, id, keep_id, copies, kept."""
+def _decided(docs: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
+    """One row a document (digest, id, keep_id, copies, kept), and the filter of the digests of more than one row."""
     index = DigestIndex(docs.sparkSession, keep=keep)
     index.flush(docs)
     index.compact()
-    clashes = index.collisions(docs)
-    with _pruned_by_filter(docs.sparkSession):
-        found = clashes.take(1)
-    if not found:
-        return index.probe()
-    clashes = F.broadcast(clashes)
+    hits = index.hits()
+    clashes = table(index.collisions(docs, hits), "collisions")
+    if clashes.isEmpty():
+        return index.probe(), hits
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).withColumn("_digest", digest_of(F.col("text")))
     apart = _plain(rows.join(clashes, F.col("_digest") == F.col("digest"), "left_semi"), "text", "doc_id", keep)
-    return index.probe().join(clashes, "digest", "left_anti").unionByName(apart)
+    return index.probe().join(clashes, "digest", "left_anti").unionByName(apart), hits
+
+
+def decide(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """One row a document: digest, id, keep_id, copies, kept."""
+    return _decided(docs, keep)[0]
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -135,7 +130,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The documents that stay, one of each group of equal texts, with all their columns."""
-    stay = decide(docs, keep).where("kept").select(F.col("digest").alias("_key"), never_null("id").alias("_doc"))
+    """The documents that stay, one of each group of equal texts, with all their columns.
+
+    A text that the filter of the hits hasn't seen has one row, which stays without a shuffle."""
+    decided, hits = _decided(docs, keep)
+    stay = decided.where("kept").select(F.col("digest").alias("_key"), never_null("id").alias("_doc"))
     rows = docs.select(whole_row(docs), digest_of(whole("text")).alias("_key"), never_null("doc_id").alias("_doc"))
-    return rows.join(stay, ["_key", "_doc"], "left_semi").dropDuplicates(["_key", "_doc"]).select("_row.*")
+    rows = with_maybe(rows, "_key", hits)
+    several = rows.where("_maybe").join(stay, ["_key", "_doc"], "left_semi").dropDuplicates(["_key", "_doc"])
+    return rows.where("not _maybe").select("_row").unionByName(several.select("_row")).select("_row.*")
