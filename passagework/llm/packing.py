@@ -65,7 +65,7 @@ class WordCoder:
     #: Letters that every normalisation form leaves alone and whose lower case is one letter.
     PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -75,6 +75,7 @@ class WordCoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.most = most
         self.tails: dict[bytes, bytes] = {}
 
     def _each(self, words: list[bytes]) -> list[bytes]:
@@ -99,8 +100,8 @@ class WordCoder:
         known = self.known
         words = set().union(*lists)
         new = words.difference(known)
-        if len(known) + len(new) > CACHED_WORDS:
-            first = dict(islice(known.items(), CACHED_WORDS // 2))
+        if len(known) + len(new) > self.most:
+            first = dict(islice(known.items(), self.most // 2))
             known.clear()
             known.update(first)
             new = words.difference(known)
@@ -130,9 +131,9 @@ class WordCoder:
         return b"".join(map(self.known.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
-def _coder(path: str) -> WordCoder:
-    return WordCoder(path)
+@lru_cache(maxsize=1)
+def _coder(path: str, most: int) -> WordCoder:
+    return WordCoder(path, most)
 
 
 def _lowered(text: str | None) -> bytes:
@@ -179,8 +180,8 @@ def _learnt(blocks: Iterable[list[bytes]], coder: WordCoder) -> Iterator[list[by
         yield words
 
 
-def tokenised(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of all pieces of all documents."""
+def tokenised(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, words: int = CACHED_WORDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of all pieces of all documents. `words`: how many a worker remembers."""
 
     def rows_of(texts: list[str | None], coder: WordCoder) -> Iterator[tuple]:
         number = 0
@@ -195,7 +196,7 @@ def tokenised(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) ->
                 number += 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path or tokenizer_path())
+        coder = _coder(path or tokenizer_path(), words)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
@@ -269,6 +270,6 @@ def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, max_docs: int = MAX_DOC
     return packed.unionByName(alone)
 
 
-def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, words: int = CACHED_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all pieces."""
-    return pack_pieces(tokenised(docs, path))
+    return pack_pieces(tokenised(docs, path, words=words))
