@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter, defaultdict
+from collections import Counter
+
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from passagework.llm import mixing, packing, quality
 
-from .test_methods import brute_components, fingerprint
+from .test_near_copies import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,10 +30,7 @@ def test_stages(spark):
     given = stages["exact_dedup"](spark, given, SF)
     assert {r.doc_id for r in given.collect()} == set(last.values()) and given.columns == docs.columns
 
-    by_print = defaultdict(list)
-    for i in last.values():
-        by_print[fingerprint(rows[i].text)].append(i)
-    stay = {min(i for p in group for i in by_print[p]) for group in brute_components(set(by_print))}
+    stay = {min(group) for group in brute({i: rows[i].text for i in last.values()})}
     given = stages["near_dedup"](spark, given, SF)
     assert {r.doc_id for r in given.collect()} == stay and given.columns == docs.columns
 
@@ -42,14 +40,24 @@ def test_stages(spark):
     assert mixed.columns == docs.columns and all(copies[i] == math.floor(t.taken / t.size + 0.5) for i, t in taken.items() if t.size)
 
     pieces = stages["packing"](spark, mixed, SF).collect()
-    tokens = Counter()
-    coder = packing.WordCoder(packing.tokenizer_path())
+    tokens, tokenizer = Counter(), Tokenizer.from_file(packing.tokenizer_path())
     for p in pieces:
         tokens[p.doc_id] += p.length
-    for i, n in copies.items():
-        split = re.findall(rb"[^\x20\x09-\x0D]+", rows[i].text.encode())
-        coder.learn([split])
-        assert tokens[i] == n * (len(coder.encode(split)) // 4 + 1)
+    assert all(tokens[i] == n * (len(tokenizer.encode(rows[i].text, add_special_tokens=False).ids) + 1) for i, n in copies.items())
+
+
+def test_awkward_and_empty_tables(spark, awkward, empty, labels, tmp_path):
+    """Nulls, blanks, ties, repeated rows and clashing names go through every stage; empty tables give empty ones."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    given = awkward
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        given = stage(spark, given, str(tmp_path))
+        assert given.columns == awkward.columns, name
+    rows = corpus_pipeline.STAGES[-1][1](spark, given, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in awkward.collect()} and all(1 <= r.length <= 4096 for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
 
 
 def test_run(spark):
