@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_text, mixing, packing, pii, quality, sharding, simhash, url_filter
+from . import exact_dedup, fingerprints, html_text, merkle, mixing, packing, pii, quality, sharding, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,16 @@ def op10_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_proofs(_read(spark, sf_dir, "documents"))
+
+
 #: The checksum's table from its polynomial, then one step a byte.
-OP1_SQL = """
-WITH crc AS (
+CRC_SQL = """crc AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
-           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)"""
+OP1_SQL = f"""
+WITH {CRC_SQL},
 docs AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
          list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes,
@@ -143,12 +148,58 @@ SELECT doc_id, size, source_size, target, coalesce(t.taken, 0)::BIGINT AS taken
 FROM queued LEFT JOIN (SELECT r, sum(taken) AS taken FROM served GROUP BY r) t USING (r)
 """
 
+#: Levels that the SQL goes up: 8 ** 6 documents of a language, 8 ** 2 languages.
+LEVELS, TOP_LEVELS = 6, 2
+
+
+def _level_sql(name: str, k: int) -> str:
+    """Level k + 1 of the trees in `name`; a tree of one node stays."""
+    return f"""{name}{k + 1} AS (SELECT tree, CASE WHEN n > 1 THEN idx // 8 ELSE idx END AS idx, CASE WHEN n > 1 THEN (n + 7) // 8 ELSE n END AS n,
+  CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY idx)) ELSE max(h) END AS h FROM {name}{k} GROUP BY tree, CASE WHEN n > 1 THEN idx // 8 ELSE idx END, n)"""
+
+
+def _fold_sql(name: str, nodes: str, k: int) -> str:
+    """One step up: the digest with its siblings' on level k, and the proof so far."""
+    own = f"f.pos // {8**k}"
+    return f"""{name}{k + 1} AS (
+  SELECT r, f.tree, pos, CASE WHEN count(o.idx) = 0 THEN cur ELSE sha256(coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (o.idx < {own}), '') || cur
+           || coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (o.idx > {own}), '')) END AS cur,
+         proof || coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (o.idx <> {own}), '') AS proof
+  FROM {name}{k} f LEFT JOIN {nodes}{k} o ON o.tree = f.tree AND o.n > 1 AND o.idx // 8 = f.pos // {8 ** (k + 1)} GROUP BY r, f.tree, pos, cur, proof)"""
+
+
+def _encoded_sql(text: str) -> str:
+    """A row's encoded fields, with this text."""
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return " || ".join(f"coalesce(octet_length(encode(({f})::VARCHAR)) || ':' || ({f})::VARCHAR, '-')" for f in fields)
+
+
+OP12_SQL = f"""
+WITH {CRC_SQL},
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree, sha256({_encoded_sql("text")}) AS leaf,
+         sha256({_encoded_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS lowered,
+         list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT) AS digits
+  FROM documents),
+leaves AS (
+  SELECT r, doc_id, tree, leaf, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n,
+         CASE WHEN xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, digits), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 3 = 0 THEN lowered ELSE leaf END AS now
+  FROM docs, crc),
+l0 AS (SELECT tree, pos AS idx, n, leaf AS h FROM leaves), {", ".join(_level_sql("l", k) for k in range(LEVELS))},
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM l{LEVELS}),
+t0 AS (SELECT '' AS tree, pos AS idx, n, h FROM subroots), {", ".join(_level_sql("t", k) for k in range(TOP_LEVELS))},
+f0 AS (SELECT r, tree, pos, now AS cur, '' AS proof FROM leaves), {", ".join(_fold_sql("f", "l", k) for k in range(LEVELS))},
+g0 AS (SELECT r, '' AS tree, s.pos, cur, proof FROM f{LEVELS} f JOIN subroots s USING (tree)), {", ".join(_fold_sql("g", "t", k) for k in range(TOP_LEVELS))}
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(g.proof) AS proof_sha256, g.cur AS folded_root, g.cur = t.h AS verified
+FROM leaves JOIN g{TOP_LEVELS} g USING (r) JOIN subroots s ON s.tree = leaves.tree, t{TOP_LEVELS} t
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rendezvous_sharding, op2_simhash_pivots, op3_compression_quality, op4_html_crf, op5_pii_spans, op6_consistent_sampling, op7_fair_queue_mixing,
-        op8_vector_best_fit, op9_path_templates, op10_lsm_exact_dedup,
+        op8_vector_best_fit, op9_path_templates, op10_lsm_exact_dedup, op12_merkle_proofs,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_rendezvous_sharding": OP1_SQL, "op5_pii_spans": OP5_SQL, "op7_fair_queue_mixing": OP7_SQL, "op10_lsm_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_rendezvous_sharding": OP1_SQL, "op5_pii_spans": OP5_SQL, "op7_fair_queue_mixing": OP7_SQL, "op10_lsm_exact_dedup": OP10_SQL, "op12_merkle_proofs": OP12_SQL}
