@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_text, merkle, mixing, packing, pii, quality, sharding, simhash, url_filter
+from . import exact_dedup, fingerprints, hard_negatives, html_text, merkle, mixing, packing, pii, quality, sharding, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op11_radix_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(_read(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_proofs(_read(spark, sf_dir, "documents"))
 
@@ -148,6 +152,19 @@ SELECT doc_id, size, source_size, target, coalesce(t.taken, 0)::BIGINT AS taken
 FROM queued LEFT JOIN (SELECT r, sum(taken) AS taken FROM served GROUP BY r) t USING (r)
 """
 
+OP11_SQL = """
+WITH vecs AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), embedding IS NOT NULL)),
+scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS alike, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM vecs a JOIN vecs r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
 #: Levels that the SQL goes up: 8 ** 6 documents of a language, 8 ** 2 languages.
 LEVELS, TOP_LEVELS = 6, 2
 
@@ -198,8 +215,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rendezvous_sharding, op2_simhash_pivots, op3_compression_quality, op4_html_crf, op5_pii_spans, op6_consistent_sampling, op7_fair_queue_mixing,
-        op8_vector_best_fit, op9_path_templates, op10_lsm_exact_dedup, op12_merkle_proofs,
+        op8_vector_best_fit, op9_path_templates, op10_lsm_exact_dedup, op11_radix_hard_negatives, op12_merkle_proofs,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_rendezvous_sharding": OP1_SQL, "op5_pii_spans": OP5_SQL, "op7_fair_queue_mixing": OP7_SQL, "op10_lsm_exact_dedup": OP10_SQL, "op12_merkle_proofs": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_rendezvous_sharding": OP1_SQL, "op5_pii_spans": OP5_SQL, "op7_fair_queue_mixing": OP7_SQL, "op10_lsm_exact_dedup": OP10_SQL, "op11_radix_hard_negatives": OP11_SQL, "op12_merkle_proofs": OP12_SQL}
