@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, hard_negatives, html_text, merkle, mixing, packing, pii, quality, sharding, simhash, url_filter
+from . import exact_dedup, fingerprints, hard_negatives, html_text, merkle, mixing, packing, pii, quality, sharding, simhash, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_proofs(_read(spark, sf_dir, "documents"))
 
 
+def op13_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 #: The checksum's table from its polynomial, then one step a byte.
 CRC_SQL = """crc AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
@@ -216,6 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_rendezvous_sharding, op2_simhash_pivots, op3_compression_quality, op4_html_crf, op5_pii_spans, op6_consistent_sampling, op7_fair_queue_mixing,
         op8_vector_best_fit, op9_path_templates, op10_lsm_exact_dedup, op11_radix_hard_negatives, op12_merkle_proofs,
+        op13_levenshtein_toxicity,
     )
 }
 
