@@ -28,6 +28,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 
@@ -90,20 +91,29 @@ def templates(shapes: DataFrame) -> DataFrame:
     return shapes
 
 
-def _chain(template: Column) -> Column:
-    """A template's nodes from the host's to the leaf's: hashes of the segments so far, the leaf's with an end of its own."""
-    start = F.array(F.xxhash64(F.lit("")))
-    nodes = F.aggregate(template, start, lambda so_far, s: F.concat(so_far, F.array(F.xxhash64(F.element_at(so_far, -1), s))))
-    return F.concat(nodes, F.array(F.xxhash64(F.element_at(nodes, -1), F.lit(0))))
+def _nodes(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of templates (id, host, template, good, labelled): the nodes of their chains but the leaves, and the leaves; both id,
+    host, good, labelled, parent, node, and _at, the node's depth.
+
+    A node is known by its prefix: the exclusive or of the hashes of its segments with their places, running along the
+    exploded template, so that a path of any length costs a row a segment. The host's node is 0."""
+    rows = trees.select("id", "host", "good", "labelled", (F.size("template") - 1).alias("_last"), F.posexplode("template").alias("_at", "_segment"))
+    along = Window.partitionBy("id").orderBy("_at")
+    node = F.bit_xor(F.xxhash64("_at", "_segment")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    steps = rows.withColumn("node", node).withColumn("parent", F.coalesce(F.lag("node").over(along), F.lit(0).cast("long")))
+    steps = table(steps.select("id", "host", "good", "labelled", "parent", "node", (F.col("_at") + 1).alias("_at"), "_last"), "chains")
+    leaves = steps.where("_at = _last + 1").select("id", "host", "good", "labelled", F.col("node").alias("parent"), F.xxhash64("node", F.lit("leaf")).alias("node"), (F.col("_at") + 1).alias("_at"))
+    return steps.drop("_last"), leaves
 
 
 def purities(shapes: DataFrame) -> DataFrame:
     """From (host, shape, n, good, labelled), n the URLs of a shape: host, shape, template, purity."""
     shapes = table(templates(shapes), "templates")
-    by = shapes.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled")).withColumn("chain", _chain(F.col("template")))
-    steps = by.select("host", "good", "labelled", F.posexplode("chain").alias("_at", "node"), "chain")
-    steps = steps.withColumn("parent", F.when(F.col("_at") > 0, F.get("chain", F.col("_at") - 1)))
-    branches = steps.where("parent is not null and labelled > 0").groupBy("host", "parent", "node").agg(F.sum("good").alias("_g"), F.sum("labelled").alias("_l"))
+    by = shapes.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
+    by = table(by.withColumn("id", F.monotonically_increasing_id()), "tree")
+    inside, leaves = _nodes(by)
+    steps = inside.unionByName(leaves)
+    branches = steps.where("labelled > 0").groupBy("host", "parent", "node").agg(F.sum("good").alias("_g"), F.sum("labelled").alias("_l"))
     share = F.col("_g") / F.col("_l")
     nodes = branches.groupBy("host", "parent").agg(F.sum("_g").alias("_pg"), F.sum("_l").alias("_pl"), F.sum(share).alias("_shares"), F.count("*").alias("_branches"))
     branches = branches.join(nodes, ["host", "parent"])
@@ -113,14 +123,15 @@ def purities(shapes: DataFrame) -> DataFrame:
     merged = branches.where("_alike").join(kin, ["host", "parent"]).select("host", "parent", "node", F.col("_kg").alias("_g"), F.col("_kl").alias("_l"))
     merged = merged.unionByName(branches.where("not _alike").select("host", "parent", "node", "_g", "_l"))
     # the nodes of a template's chain, with what their branches say; then the fold from the host's to the last
-    walk = by.select("host", "template", F.posexplode("chain").alias("_at", "node"), F.size("chain").alias("_length"))
-    inner = walk.where("_at < _length - 1").join(nodes.select("host", F.col("parent").alias("node"), "_shares", "_branches"), ["host", "node"], "left")
-    inner = inner.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_shares", F.lit(0.0)).alias("s"), F.coalesce("_branches", F.lit(0)).alias("k")))).alias("_path"))
+    root = by.select("id", "host", F.lit(0).alias("_at"), F.lit(0).cast("long").alias("node"))
+    walk = root.unionByName(inside.select("id", "host", "_at", "node"))
+    walk = walk.join(nodes.select("host", F.col("parent").alias("node"), "_shares", "_branches"), ["host", "node"], "left")
+    inner = walk.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_shares", F.lit(0.0)).alias("s"), F.coalesce("_branches", F.lit(0)).alias("k")))).alias("_path"))
     estimate = F.aggregate("_path", F.lit(PRIOR), lambda e, x: (x["s"] + ALPHA * e) / (x["k"] + ALPHA))
-    leaves = by.select("host", "template", F.element_at("chain", -1).alias("node"), F.get("chain", F.size("chain") - 2).alias("parent"))
-    found = inner.select("host", "template", estimate.alias("_estimate")).join(leaves.join(merged, ["host", "parent", "node"], "left"), ["host", "template"])
+    found = inner.select("id", estimate.alias("_estimate")).join(leaves.select("id", "host", "parent", "node").join(merged, ["host", "parent", "node"], "left"), "id")
     good, labelled = F.coalesce("_g", F.lit(0)), F.coalesce("_l", F.lit(0))
-    found = found.select("host", "template", ((good + ALPHA * F.col("_estimate")) / (labelled + ALPHA)).alias("purity"))
+    found = found.select("id", ((good + ALPHA * F.col("_estimate")) / (labelled + ALPHA)).alias("purity"))
+    found = by.select("id", "host", "template").join(found, "id").drop("id")
     return shapes.select("host", "shape", "template").join(found, ["host", "template"])
 
 
