@@ -9,7 +9,7 @@ match may start inside a run of its own first class only right after the match b
 
 Scores: a kind's base, CONTEXT_GAIN more if one of its context words stands within CONTEXT code points of the span,
 less if one of the words does that speak against it. The four base kinds are reported whatever their score; the further
-kinds (IBANs that pass mod-97, hexadecimal secrets) from REPORT on.
+kinds (IBANs of their country's length that pass mod-97, hexadecimal secrets) from REPORT on.
 
 Nulls: a null text is empty, without spans. Repeated rows are reported each. Empty tables give empty results. Further
 columns aren't read.
@@ -39,12 +39,21 @@ class Kind:
     base: bool = True
 
 
+#: How long a country's IBANs are: fixed values, from the public registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: An IBAN of the length that its country's have, in groups of any size.
+IBAN = "(?:" + "|".join(rf"(?:{countries.replace(' ', '|')})[0-9][0-9](?:[ ]?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items()) + ")"
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|contact|write"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.7, "address|host|server|login"),
     Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?+[0-9])++", r"[0-9][\x20-]?[0-9]", 0.8, "card|visa|payment|credit"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, "call|phone|tel|fax|mobile"),
-    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", r"[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|transfer", base=False),
+    Kind("iban", rf"(?<![A-Za-z0-9_]){IBAN}(?![A-Za-z0-9_])", r"[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|transfer", base=False),
     Kind("secret", r"(?<![0-9A-Za-z_])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z_])", r"[0-9A-Fa-f]{32}", 0.4, "token|key|secret|password", base=False),
 )
 

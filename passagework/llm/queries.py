@@ -102,7 +102,7 @@ found AS (
   {" UNION ALL ".join(f"""SELECT r, {no} AS no, regexp_extract_all(text, '(?s)(.*?)(?:({pattern})|{chr(92)}z)', 1) AS gaps,
     regexp_extract_all(text, '(?s)(.*?)(?:({pattern})|{chr(92)}z)', 2) AS matches FROM docs""" for no, pattern in enumerate((
       r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", r"[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", r"[0-9](?:[ -]?[0-9])+", r"[+][0-9][ ().0-9-]+[0-9]",
-      r"\b[A-Z][A-Z][0-9][0-9](?:[ ]?[A-Z0-9]){11,30}\b", r"\b[0-9A-Fa-f]{32,}\b")))}),
+      rf"\b{pii.IBAN}\b", r"\b[0-9A-Fa-f]{32,}\b")))}),
 pairs AS (SELECT r, no, unnest(gaps) AS gap, unnest(matches) AS m, generate_subscripts(gaps, 1) AS i FROM found),
 placed AS (
   SELECT r, no, m, right(gap, 40) AS tail, lead(left(gap, 40)) OVER w AS head,
