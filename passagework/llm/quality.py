@@ -9,8 +9,10 @@ Dictionaries learn from one part of the labelled rows, the calibration from anot
 dictionary doesn't flatter the calibration. Both parts are bounded samples (SAMPLE rows a class, MAX_BYTES of text a
 class, by md5 of doc_id), so the fit costs the same at every size; scoring covers every whole text.
 
-Nulls and empty texts score as (d, r) = (0, 0) of the calibration's scale. Repeated rows get equal scores. With no
-labels, or one class only, the score is that class's share (0.5 with none). Further columns aren't read.
+Nulls and empty texts score as (d, r) = (0, 0) of the calibration's scale. Repeated rows get equal scores. Of rows that
+share a labelled id the first text is learned from, and of conflicting labels the better. With no labels, or one class
+only, the score is that class's share (0.5 with none). Ties in the sample's order go by doc_id. An empty table gives an
+empty result. Further columns aren't read.
 """
 
 from __future__ import annotations
@@ -137,8 +139,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
             picked = some if picked is None else picked.unionByName(some)
     picked = F.broadcast(table(picked.coalesce(1), "labelled-ids"))  # 4 * SAMPLE rows at most
     texts = docs.select("doc_id", whole("text").alias("text")).join(picked, "doc_id")
-    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("quality", "part").orderBy(order, "text"))
-    texts = texts.where(F.octet_length("text") <= MAX_BYTES)
+    texts = texts.where(F.octet_length("text") <= MAX_BYTES).groupBy("doc_id", "quality", "part").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("quality", "part").orderBy(order, "doc_id"))
     return texts.withColumn("_bytes", so_far).where(F.col("_bytes") <= MAX_BYTES).drop("_bytes").toPandas()
 
 
