@@ -1,17 +1,24 @@
-"""Overlapping passages of documents, with the pages that they stand on."""
+"""Overlapping passages of documents, with the pages that they stand on.
+
+A document of up to `segments.SEGMENT` code points is split in its row; a longer one by segments, so that neither a row nor a
+task grows with it. Both give the same passages.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 from pyspark.sql.window import Window
 
 from ..functions.text import format_pages, is_blank
 from ..schema import CHUNK_OVERLAP, CHUNK_SIZE, PAGE_SEPARATOR
+from ..sources.work import work_table
+from . import occurrences, segments
 
 #: Block numbers in a run that is summed on its own.
 BUCKET = 4096
@@ -66,6 +73,29 @@ def _split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: split_text(t) if t else [])
 
 
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _under(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for texts, passages, starts, stops, pages in batches:
+        found = []
+        for text, some, s, e, p in zip(texts, passages, starts, stops, pages):
+            rows: list[list[int]] = []
+            for passage in some:
+                at, on = (text.find(passage) if passage else 0), set()
+                i = bisect_right(e, at) if at >= 0 else len(e)
+                while i < len(e) and s[i] < at + len(passage):
+                    on.update(p[i])
+                    i += 1
+                rows.append(sorted(on))
+            found.append(rows)
+        yield pd.Series(found)
+
+
+def pages_of(text: Column, passages: Column, offsets: Column) -> Column:
+    """find_pages of all passages (array) of a document, whose offsets are in order: one array of pages each."""
+    part = lambda name: F.transform(offsets, lambda o: o[name])
+    return _under(text, passages, part("s"), part("e"), part("pages"))
+
+
 def with_offsets(blocks: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFrame:
     """Adds start and stop: where a block stands in its document's text, blocks being joined by the separator.
 
@@ -84,7 +114,7 @@ def with_offsets(blocks: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFram
 
 
 def documents_of(blocks: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFrame:
-    """One row a source: text and offsets; blank blocks are left out. A document is one row: for documents as
+    """One row a source: text, offsets and its blocks (rows); blank blocks are left out. A document is one row: for documents as
     large as a file, not for sources of any size."""
     kept = blocks.where(~is_blank(F.col("text")))
     placed = with_offsets(kept, separator)
@@ -92,7 +122,7 @@ def documents_of(blocks: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFram
     rows = placed.groupBy("source").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r["text"]), separator)
     offsets = F.transform("rows", lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["pages"].alias("pages")))
-    return rows.select("source", text.alias("text"), offsets.alias("offsets"))
+    return rows.select("source", text.alias("text"), offsets.alias("offsets"), "rows")
 
 
 def find_pages(chunk: Column, text: Column, offsets: Column) -> Column:
@@ -108,9 +138,47 @@ def find_pages(chunk: Column, text: Column, offsets: Column) -> Column:
     return F.coalesce(pages, F.array().cast("array<int>"))
 
 
-def chunks_of(documents: DataFrame) -> DataFrame:
-    """From documents (source, text, offsets): id, source, chunk_ix, text, page_list, pages. No shuffle."""
-    split = documents.select("source", F.col("text").alias("_text"), "offsets", F.posexplode(_split(F.col("text"))).alias("chunk_ix", "text"))
-    found = split.withColumn("page_list", find_pages(F.col("text"), F.col("_text"), F.col("offsets")))
+def _named(found: DataFrame) -> DataFrame:
+    """id, source, chunk_ix, text, page_list, pages."""
     name = F.concat("source", F.lit("::"), F.col("chunk_ix").cast("string"))
     return found.select(name.alias("id"), "source", "chunk_ix", "text", "page_list", format_pages(F.col("page_list")).alias("pages"))
+
+
+def _split_rows(documents: DataFrame) -> DataFrame:
+    """source, chunk_ix, text, page_list of documents that are rows. Pages are looked up before the passages part, so that no
+    passage carries its document with it. No shuffle."""
+    split = documents.select("source", "text", "offsets", _split(F.col("text")).alias("_passages"))
+    split = split.withColumn("_pages", pages_of(F.col("text"), F.col("_passages"), F.col("offsets")))
+    placed = F.zip_with("_passages", "_pages", lambda p, on: F.struct(p.alias("text"), on.alias("page_list")))
+    return split.select("source", F.posexplode(placed).alias("chunk_ix", "_p")).select("source", F.col("chunk_ix").cast("long").alias("chunk_ix"), "_p.text", "_p.page_list")
+
+
+def _split_segments(parts: DataFrame, blocks: DataFrame, segment: int = segments.SEGMENT) -> DataFrame:
+    """The same of documents that are segments (source, k, text), from their blocks (source, start, stop, pages)."""
+    parts = work_table(parts, "parts")
+    passages = work_table(segments.passages_of(parts, segment=segment).select("source", "chunk_ix", "text"), "split")
+    firsts = occurrences.first_occurrences(parts, passages, segment=segment)
+    return occurrences.pages_under(passages.join(firsts, ["source", "text"], "left"), blocks).select("source", "chunk_ix", "text", "page_list")
+
+
+def chunks_of(documents: DataFrame, segment: int = segments.SEGMENT) -> DataFrame:
+    """From documents (source, text, offsets): id, source, chunk_ix, text, page_list, pages."""
+    long = F.length("text") > segment
+    found = _split_rows(documents.where(~long))
+    if not documents.where(long).isEmpty():
+        documents = documents.where(long)
+        spans = documents.select("source", F.explode("offsets").alias("_o")).select("source", F.col("_o.s").cast("long").alias("start"), F.col("_o.e").cast("long").alias("stop"), F.col("_o.pages").alias("pages"))
+        found = found.unionByName(_split_segments(segments.segments_of_documents(documents, segment), spans, segment))
+    return _named(found)
+
+
+def chunks_of_blocks(blocks: DataFrame, segment: int = segments.SEGMENT) -> DataFrame:
+    """The same from blocks (source, block_no, pages, text), whose documents are their texts joined by the page separator."""
+    placed = work_table(with_offsets(blocks.where(~is_blank(F.col("text")))), "blocks")
+    long = placed.groupBy("source").agg(F.max("stop").alias("_size")).where(F.col("_size") > segment).select("source")
+    long = work_table(long, "long")
+    found = _split_rows(documents_of(blocks.join(long, "source", "left_anti")))
+    if not long.isEmpty():
+        some = placed.join(long, "source", "left_semi")
+        found = found.unionByName(_split_segments(segments.segments_of_blocks(some, segment=segment), some.select("source", "start", "stop", "pages"), segment))
+    return _named(found)

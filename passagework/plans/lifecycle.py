@@ -16,11 +16,12 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.text import sanitize
 from ..models import Captioner, Embedder, Extractor
-from ..operators.chunk import chunks_of, documents_of
+from ..operators.chunk import chunks_of_blocks
 from ..operators.diagnose import ocr_decisions
 from ..operators.lexical import postings_of
 from ..sources.postings import lengths_of
 from ..sources.store import Store
+from ..sources.work import work_table
 
 #: Texts that an embedder gets at a time.
 BATCH = 32
@@ -119,8 +120,8 @@ def ingest(store: Store, files: DataFrame, extractor: Extractor, embedder: Embed
         if not touched:
             return False
         again = plan.where("status in ('changed', 'interrupted', 'new')").select("source")
-        blocks = extracted(files.join(again, "source", "left_semi"), extractor)
-        chunks = embedded(chunks_of(documents_of(blocks)), "text", embedder)
+        blocks = work_table(extracted(files.join(again, "source", "left_semi"), extractor), "extracted")
+        chunks = embedded(chunks_of_blocks(blocks), "text", embedder)
         # by the hash of the source; two sources that share it are told apart by id wherever ord decides
         order = F.xxhash64("source").bitwiseAND(0x3FFFFFFF) * F.lit(1 << 32) + F.col("chunk_ix")
         fresh = chunks.select("id", "source", order.alias("ord"), "text", "pages", "embedding", F.lit(None).cast("string").alias("file_hash"))

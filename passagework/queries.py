@@ -375,8 +375,11 @@ def page_attribution(spark: SparkSession, d: str) -> DataFrame:
     named = docs(spark, d).select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", r"\. ", -1)).alias("block_no", "text"))
     first = F.floor(F.col("block_no") / 3).cast("int") + 1
     blocks = named.where(~is_blank(F.col("text"))).withColumn("pages", F.array(first, first + 1))
-    pages = ch.format_pages(ch.find_pages(F.col("chunk"), F.col("text"), F.col("offsets")))
-    return blocks.select("source", "block_no", F.col("text").alias("chunk")).join(ch.documents_of(blocks), "source").select("source", "block_no", pages.alias("pages"))
+    whole = ch.documents_of(blocks)
+    texts = F.transform("rows", lambda r: r["text"])
+    whole = whole.withColumn("_pages", ch.pages_of(F.col("text"), texts, F.col("offsets")))
+    found = F.explode(F.zip_with("rows", "_pages", lambda r, on: F.struct(r["block_no"].alias("block_no"), ch.format_pages(on).alias("pages")))).alias("_f")
+    return whole.select("source", found).select("source", "_f.*")
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -384,11 +387,61 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return ch.chunks_of(docs(spark, d).select(F.col("doc_id").cast("string").alias("source"), "text", offsets.alias("offsets")))
 
 
-@query()
+def passages_sql(documents: str) -> str:
+    """The splitter in SQL: passages (source, start, stop, text) of docs (source, text). Pieces level by level, those that are
+    too long by the next finer separator; runs of small siblings; each atom's passage and the next start; the starts reached."""
+    levels, above = [], "SELECT source, text AS t, 0::BIGINT AS start, true AS fresh FROM docs"
+    for level, cut in enumerate(("chr(10) || chr(10)", "chr(10)", "' '")):
+        levels.append(f"""whole{level} AS ({above}),
+cut{level} AS (SELECT source, start AS base, string_split(t, {cut}) AS parts, fresh FROM whole{level}),
+each{level} AS (SELECT source, base, i, (CASE WHEN i > 1 THEN {cut} ELSE '' END) || parts[i] AS t FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM cut{level})),
+piece{level} AS (
+  SELECT source, base, base + coalesce(sum(length(t)) OVER (PARTITION BY source, base ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, t FROM each{level}),
+atom{level} AS (SELECT source, start, start + length(t) AS stop, {level} AS level, start = base AND {"start = 0" if level == 0 else "true"} AS fresh FROM piece{level} WHERE length(t) BETWEEN 1 AND 511)""")
+        above = f"SELECT source, t, start, true AS fresh FROM piece{level} WHERE length(t) >= 512"
+    return f"""WITH RECURSIVE docs AS ({documents}), {", ".join(levels)},
+atom3 AS (SELECT source, start + i AS start, start + i + 1 AS stop, 3 AS level, i = 0 AS fresh FROM (SELECT source, start, unnest(range(length(t))) AS i FROM ({above}))),
+atoms AS (SELECT * FROM atom0 UNION ALL SELECT * FROM atom1 UNION ALL SELECT * FROM atom2 UNION ALL SELECT * FROM atom3),
+broken AS (SELECT *, (fresh OR level IS DISTINCT FROM lag(level) OVER (PARTITION BY source ORDER BY start))::INT AS breaks FROM atoms),
+runs AS (SELECT source || ' ' || sum(breaks) OVER (PARTITION BY source ORDER BY start) AS run, source, start, stop, breaks FROM broken),
+ends AS (SELECT run, max(stop) AS run_stop FROM runs GROUP BY run),
+beyond AS (SELECT a.*, p.start AS p_start, p.stop AS p_stop FROM runs a ASOF LEFT JOIN runs p ON a.run = p.run AND a.start + 512 < p.stop),
+wanted AS (SELECT *, CASE WHEN p_start IS NULL THEN NULL ELSE greatest(start + 1, p_start - least(50, 512 - (p_stop - p_start))) END AS least_start FROM beyond),
+pointers AS (SELECT a.run, a.source, a.start, coalesce(a.p_start, run_stop) AS stop, s.start AS next, a.breaks FROM wanted a ASOF LEFT JOIN runs s ON a.run = s.run AND a.least_start <= s.start JOIN ends e ON e.run = a.run),
+reached AS (
+  SELECT run, source, start, stop, next FROM pointers WHERE breaks = 1
+  UNION ALL SELECT p.run, p.source, p.start, p.stop, p.next FROM reached r JOIN pointers p ON p.run = r.run AND p.start = r.next),
+raw AS (SELECT source, start, substr(text, (start + 1)::BIGINT, (stop - start)::BIGINT) AS t FROM reached JOIN docs USING (source)),
+passages AS (
+  SELECT source, start + length(t) - length(regexp_replace(t, '^[\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+', '')) AS start, regexp_replace(t, '^[\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+|[\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+$', '', 'g') AS text FROM raw),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY start) - 1 AS chunk_ix FROM passages WHERE text <> '')"""
+
+
+@query(f"{passages_sql('SELECT doc_id::VARCHAR AS source, text FROM documents')} SELECT source || '::' || chunk_ix AS id, source, chunk_ix, text, '1' AS pages FROM numbered")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("id", "source", "chunk_ix", "text", "pages")
 
 
+#: A source as one document: its documents' texts are its blocks, on pages of five; blank ones are left out.
+SOURCE_BLOCKS_SQL = r"""SELECT source, doc_id AS block_no, text, [(doc_id // 5 % 1000000)::INT] AS pages,
+  coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM documents WHERE trim(regexp_replace(text, '[\s\p{Z}\x1c-\x1f\x{85}]+', ' ', 'g')) <> ''"""
+
+
+def _source_blocks(spark: SparkSession, d: str) -> DataFrame:
+    page = F.floor(F.col("doc_id") / 5) % 1_000_000
+    return docs(spark, d).select("source", F.col("doc_id").alias("block_no"), F.array(page.cast("int")).alias("pages"), "text")
+
+
+@query(f"""{passages_sql(f"SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS text FROM ({SOURCE_BLOCKS_SQL}) GROUP BY source")},
+found AS (SELECT n.*, strpos(d.text, n.text) - 1 AS first FROM numbered n JOIN docs d USING (source)), blocks AS ({SOURCE_BLOCKS_SQL})
+SELECT f.source, f.chunk_ix, f.text, array_to_string(list_sort(list_distinct(flatten(list(b.pages)))), ', ') AS pages
+FROM found f JOIN blocks b ON b.source = f.source AND b.start < f.first + length(f.text) AND b.start + length(b.text) > f.first GROUP BY f.source, f.chunk_ix, f.text""")
+def source_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every source is one document, of any size: its passages, with the pages under each one's first occurrence."""
+    return ch.chunks_of_blocks(_source_blocks(spark, d)).select("source", "chunk_ix", "text", "pages")
+
+
 @query("SELECT doc_id::VARCHAR AS source, 0::BIGINT AS too_long, 0::BIGINT AS foreign_text, 0::BIGINT AS unplaced FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
     """No passage is too long, none isn't in its document, all are on a page, and every document has some."""
