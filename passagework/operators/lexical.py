@@ -6,6 +6,11 @@ words meet the texts in the scan.
 Scores are the Lucene form: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), term weight tf / (tf + k1 * (1 - b + b * dl /
 avgdl)), summed over a query's words with repeats. N, df and avgdl are the whole corpus's, whatever the source filter.
 Passages without a query word score 0 and still rank, in store order.
+
+With stored impacts a search prunes, without changing its result. The FIRST ranges of passages whose words' bounds add up to
+most are scored; the k-th best score there is the query's threshold. Words whose bounds together stay below it can't bring a
+passage among the best by themselves: only the others' postings (the essential words'), in ranges that can reach the threshold,
+propose passages, with what they score so far. Of these, those that could still reach it with all other words are scored whole.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from ..sources.work import work_table
 
 if TYPE_CHECKING:
     from ..sources.postings import PostingsIndex
@@ -27,6 +33,10 @@ if TYPE_CHECKING:
 K1, B = 1.5, 0.75
 #: Queries that go in one block, about.
 MAX_QUERIES = 10_000
+#: Ranges that are scored for a query's threshold; what bounds may lack by the rounding of scores.
+FIRST, ROUNDING = 8, 1e-8
+#: From so many (query, posting) rows on a search prunes; with fewer its further steps cost more than they save.
+PRUNE_FROM = 20_000_000
 
 
 def postings_of(corpus: DataFrame) -> DataFrame:
@@ -106,17 +116,74 @@ def allowed(df: DataFrame, sources: list[str] | None) -> DataFrame:
     return df.where(F.col("source").isin(sources)) if sources else df.where(F.lit(False))
 
 
-def bm25_search(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list[str] | None = None, index: PostingsIndex | None = None) -> DataFrame:
+def bm25_search(
+    corpus: DataFrame, queries: DataFrame, top_k: int, sources: list[str] | None = None, index: PostingsIndex | None = None, prune: bool | None = None
+) -> DataFrame:
     """qid, id, ord, source, score, rank: the best passages of every query, those without a match filling up.
 
     A query with fewer matches than top_k is filled from the first passages in store order. It has fewer than top_k
-    matches, so the first 2 * top_k passages are enough to fill it: no query meets all passages.
+    matches, so the first 2 * top_k passages are enough to fill it: no query meets all passages. `prune`: whether to score
+    only passages that can be among the best; by default that is decided by the number of postings.
     """
-    return in_blocks(queries, lambda block: _bm25_block(corpus, block, top_k, sources, index))
+    return in_blocks(queries, lambda block: _bm25_block(corpus, block, top_k, sources, index, prune))
+
+
+def _worth_pruning(index: PostingsIndex, queries: DataFrame) -> bool:
+    wanted = query_terms(queries)
+    vocabulary = wanted.select("term").distinct()
+    met = index.narrowed(index.impacts, vocabulary).join(wanted, "term").agg(F.sum("n")).first()[0]
+    return (met or 0) >= PRUNE_FROM
 
 
-def _bm25_block(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list[str] | None, index: PostingsIndex | None) -> DataFrame:
-    found = allowed(matches(corpus, queries, index=index), sources)
+def pruned_matches(index: PostingsIndex, queries: DataFrame, top_k: int, sources: list[str] | None) -> DataFrame:
+    """qid, id, ord, source, score of the passages with a query word that may be among the top_k of a query."""
+    from ..sources.postings import block_of
+
+    wanted = query_terms(queries)
+    vocabulary = wanted.select("term").distinct()
+    impacts = index.narrowed(index.impacts, vocabulary)
+    dfs = impacts.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = dfs.crossJoin(F.broadcast(index.stats())).join(wanted, "term").select("term", "qid", (F.col("qtf") * idf).alias("weight"), "avgdl")
+    weights = work_table(weights, "weights")
+
+    bound = F.col("weight") * F.col("impact") * F.greatest(F.lit(1.0), F.col("avgdl") / F.col("at_avgdl"))
+    bounds = allowed(impacts, sources).join(weights, "term").select("qid", "term", F.coalesce("source", F.lit("")).alias("_source"), F.col("block").alias("_block"), bound.alias("most"))
+    by_range = bounds.groupBy("qid", "_source", "_block").agg(F.sum("most").alias("most"))
+    order = Window.partitionBy("qid").orderBy(F.desc("most"), "_source", "_block")
+    ranges = work_table(by_range.withColumn("place", F.row_number().over(order)), "ranges")
+
+    length = 1 - B + B * F.col("dl") / F.col("avgdl")
+    part = F.sum(F.col("weight") * F.col("tf") / (F.col("tf") + K1 * length))
+    postings = allowed(index.of(vocabulary), sources).withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_block", block_of(F.col("ord")))
+    key, passage = ["term", "_source", "_block"], ["qid", "id", "ord", "source"]
+
+    needed = ranges.where(F.col("place") <= FIRST).select("qid", "_source", "_block").join(weights, "qid")
+    first = work_table(postings.join(needed, key).groupBy(*passage).agg(part.alias("score")), "scored")
+    least = ranked(first.withColumn("score", F.round("score", 9)), top_k).where(F.col("rank") == top_k).select("qid", (F.col("score") - ROUNDING).alias("_least"))
+    least = work_table(least, "thresholds")
+
+    # words in the order of their bounds, with what they and those before them can score; no threshold: all are essential
+    upto = F.sum("most").over(Window.partitionBy("qid").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    words = bounds.groupBy("qid", "term").agg(F.max("most").alias("most")).withColumn("_upto", upto).join(least, "qid", "left")
+    words = words.withColumn("_essential", F.col("_least").isNull() | (F.col("_upto") >= F.col("_least")))
+    words = words.withColumn("_others", F.coalesce(F.max(F.when(~F.col("_essential"), F.col("_upto"))).over(Window.partitionBy("qid")), F.lit(0.0)))
+    essential = work_table(words.where("_essential").select("qid", "term", "_others", "_least").join(weights, ["qid", "term"]), "essential")
+
+    others = ranges.where(F.col("place") > FIRST).join(least, "qid", "left").where(F.col("_least").isNull() | (F.col("most") >= F.col("_least"))).select("qid", "_source", "_block")
+    proposed = postings.join(others.join(essential, "qid"), key).groupBy(*passage, "_others", "_least").agg(part.alias("score"))
+    proposed = work_table(proposed.where("_least is null or score + _others >= _least"), "proposed")
+    rest = proposed.select("qid", "id", "ord").join(weights, "qid")
+    found = first.unionByName(postings.join(rest, ["term", "id", "ord"]).groupBy(*passage).agg(part.alias("score")))
+    return found.withColumn("score", F.round("score", 9))
+
+
+def _bm25_block(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list[str] | None, index: PostingsIndex | None, prune: bool | None) -> DataFrame:
+    able = index is not None and index.impacts is not None and sources != []
+    if able and (_worth_pruning(index, queries) if prune is None else prune):
+        found = pruned_matches(index, queries, top_k, sources)
+    else:
+        found = allowed(matches(corpus, queries, index=index), sources)
     top = ranked(found, top_k)
     pool = allowed(corpus, sources).select("id", "ord", "source").orderBy("ord", "id").limit(2 * top_k)
     full = top.where(F.col("rank") == top_k).select("qid")

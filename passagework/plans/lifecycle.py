@@ -19,7 +19,8 @@ from ..models import Captioner, Embedder, Extractor
 from ..operators.chunk import chunks_of_blocks
 from ..operators.diagnose import ocr_decisions
 from ..operators.lexical import postings_of
-from ..sources.postings import lengths_of
+from ..schema import CHUNK_SIZE
+from ..sources.postings import impacts_of, lengths_of
 from ..sources.store import Store
 from ..sources.work import work_table
 
@@ -113,7 +114,7 @@ def _touched(store: Store, changed: DataFrame) -> list[int]:
 def ingest(store: Store, files: DataFrame, extractor: Extractor, embedder: Embedder, forced: list[str] | None = None) -> bool:
     """Bring the store up to date with files (source, content, digest); whether anything changed.
 
-    Only buckets with a changed document are written: their passages, markers, postings and lengths."""
+    Only buckets with a changed document are written: their passages, markers, postings, impacts and lengths."""
     plan = sync_plan(files, store.read("manifest"), store.read("corpus"), forced).persist()
     try:
         touched = _touched(store, plan.where("status <> 'skip'"))
@@ -127,7 +128,9 @@ def ingest(store: Store, files: DataFrame, extractor: Extractor, embedder: Embed
         fresh = chunks.select("id", "source", order.alias("ord"), "text", "pages", "embedding", F.lit(None).cast("string").alias("file_hash"))
         draft = store.draft()
         corpus = draft.put("corpus", sync_apply(plan, store.read("corpus", touched), fresh), touched)
-        draft.put("postings", postings_of(corpus), touched, order="term")
+        postings = draft.put("postings", postings_of(corpus), touched, order="term")
+        known = store.read("lengths").agg(F.sum("total") / F.sum("n")).first()[0]
+        draft.put("impacts", impacts_of(postings, max(1.0, known or CHUNK_SIZE / 8)), touched, order="term")
         draft.put("lengths", lengths_of(corpus, "source"), touched)
         draft.put("manifest", next_manifest(files.where(store.bucket().isin(touched)), corpus), touched)
         draft.publish()

@@ -177,6 +177,18 @@ def bm25_all_items(spark: SparkSession, d: str) -> DataFrame:
     return lexical.bm25_search(passages(spark, d), items(spark, d), 20).select(HITS)
 
 
+@query(f"WITH {ALL_LEXICAL_SQL} {top_sql('bm25', 20)}")
+def bm25_pruned_all_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item asks the stored postings, of which only ranges are scored whose bounds reach a query's threshold."""
+    return lexical.bm25_search(passages(spark, d), items(spark, d), 20, index=index(spark, d), prune=True).select(HITS)
+
+
+@query(f"WITH {ALL_LEXICAL_SQL} {top_sql('bm25', 5, IN_SQL)}")
+def bm25_pruned_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same within some sources, whose ranges alone are looked at."""
+    return lexical.bm25_search(passages(spark, d), items(spark, d), 5, SOURCES, index(spark, d), prune=True).select(HITS)
+
+
 @query(f"WITH {ALL_DENSE_SQL} {top_sql('dense', 5)}")
 def knn_all_items(spark: SparkSession, d: str) -> DataFrame:
     everyone = items(spark, d).join(vectors(spark, d).withColumnRenamed("embedding", "vector"), F.col("qid") == F.col("vec_id")).drop("vec_id")
@@ -222,6 +234,15 @@ def hybrid_topn(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"{hybrid_sql(5).replace(LEXICAL_SQL, ALL_LEXICAL_SQL).replace(DENSE_SQL, ALL_DENSE_SQL)} SELECT * FROM hybrid")
+def hybrid_all_items(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid of every item, so that fusion and its ties are compared on many rows."""
+    everyone = items(spark, d).join(vectors(spark, d).withColumnRenamed("embedding", "vector"), F.col("qid") == F.col("vec_id")).drop("vec_id")
+    depth = fuse.candidate_depth(5)
+    rankings = [dense_search(corpus(spark, d).where("embedding is not null"), everyone, depth), lexical.bm25_search(passages(spark, d), items(spark, d), depth, index=index(spark, d))]
+    return fuse.fused_top(rankings, 5).select("qid", F.col("id").cast("long").alias("ord"), "score", "rank")
+
+
 @query(f"""WITH {RANKS_SQL} SELECT qid, ord, round(sum(1.0::DOUBLE / (60 + r)), 12) AS score FROM (
   SELECT * FROM dr WHERE r <= 20 UNION ALL SELECT * FROM br WHERE r <= 20) GROUP BY qid, ord""")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:

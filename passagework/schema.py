@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 #: A file on disk; identity is its base name.
 FILES = StructType([StructField("source", StringType()), StructField("path", StringType()), StructField("content", BinaryType())])
@@ -27,6 +27,13 @@ POSTINGS = StructType(
         StructField("dl", IntegerType()), StructField("tf", LongType()),
     ]
 )
+#: Of a word's postings in a range of a source's passages: how many, and the largest impact, at an average length.
+IMPACTS = StructType(
+    [
+        StructField("term", StringType()), StructField("source", StringType()), StructField("block", LongType()), StructField("n", LongType()),
+        StructField("impact", DoubleType()), StructField("at_avgdl", DoubleType()),
+    ]
+)
 LENGTHS = StructType([StructField("source", StringType()), StructField("n", LongType()), StructField("total", LongType())])
 GALLERY = StructType([StructField("source", StringType()), StructField("path", StringType()), StructField("caption", StringType()), StructField("file_hash", StringType()), StructField("embedding", ArrayType(FloatType()))])
 

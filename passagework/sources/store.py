@@ -15,9 +15,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CORPUS, GALLERY, LENGTHS, MANIFEST, POSTINGS
+from ..schema import CORPUS, GALLERY, IMPACTS, LENGTHS, MANIFEST, POSTINGS
 
-TABLES = {"corpus": CORPUS, "manifest": MANIFEST, "gallery": GALLERY, "postings": POSTINGS, "lengths": LENGTHS}
+TABLES = {"corpus": CORPUS, "manifest": MANIFEST, "gallery": GALLERY, "postings": POSTINGS, "impacts": IMPACTS, "lengths": LENGTHS}
 
 
 class Store:

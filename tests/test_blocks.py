@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from passagework import queries
@@ -62,3 +65,20 @@ def test_equal_places_go_by_id(spark):
     for _ in range(2):
         found = lexical.bm25_search(corpus, asked, 5).orderBy("qid", "rank").collect()
         assert [r.id for r in found] == want + want
+
+
+@pytest.mark.parametrize("span, first, k", [(4, 1, 3), (16, 2, 5), (2048, 8, 10)])
+def test_pruned_searches_find_what_all_postings_give(spark, tmp_path, monkeypatch, span, first, k):
+    """Ranges of few places and of many, ties and rare words included; null texts and sources have their place."""
+    r = random.Random(span)
+    words = ["common"] * 6 + ["often"] * 3 + ["now"] + [f"rare{i}" for i in range(30)]
+    rows = [(str(i), i * 3 - 50, r.choice(["a", "b", None]), " ".join(r.choice(words) for _ in range(r.randint(0, 12))) if i % 17 else None) for i in range(150)]
+    corpus = spark.createDataFrame(rows, "id string, ord long, source string, text string")
+    queries = spark.createDataFrame([(1, "common often"), (2, "rare3 now now"), (3, "nothing"), (4, "often rare5 rare6 common"), (5, ""), (6, "rare9")], "qid int, query string")
+    monkeypatch.setattr("passagework.sources.postings.RANGE", span)
+    monkeypatch.setattr("passagework.operators.lexical.FIRST", first)
+    index = PostingsIndex.write(corpus, str(tmp_path / f"i{span}"))
+    for sources in (None, ["a"], []):
+        want = {tuple(x) for x in lexical.bm25_search(corpus, queries, k, sources, PostingsIndex(index.postings, index.lengths)).collect()}
+        assert {tuple(x) for x in lexical.bm25_search(corpus, queries, k, sources, index, prune=True).collect()} == want
+    assert {x.term: x.df for x in index.impacts.groupBy("term").agg({"n": "sum"}).withColumnRenamed("sum(n)", "df").collect()} == {x.term: x.df for x in lexical.term_df(corpus).collect()}
