@@ -334,8 +334,9 @@ def page_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 ITEMS_SQL = """items AS (
-  SELECT source, (doc_id % 40)::INT AS page, doc_id::INT AS item_no, ['heading', 'list', 'list', 'text', 'image', 'code'][(doc_id % 6 + 1)::INT] AS kind, (doc_id % 4)::INT AS level, text,
-         CASE WHEN doc_id % 8 = 0 THEN [] ELSE [(doc_id % 40)::INT, (doc_id % 40 + doc_id % 3)::INT] END AS prov FROM documents),
+  SELECT doc_id::VARCHAR AS source, i // 4 AS page, i AS item_no, ['heading', 'list', 'list', 'text', 'image', 'code'][i % 6 + 1] AS kind, i % 4 AS level,
+         CASE WHEN i % 6 <> 4 THEN parts[i + 1] END AS text, CASE WHEN i % 8 = 0 THEN [] ELSE [i // 4, i // 4 + i % 3] END AS prov
+  FROM (SELECT doc_id, parts, unnest(range(len(parts)))::INT AS i FROM (SELECT doc_id, string_split(text, '. ') AS parts FROM documents))),
 marked AS (
   SELECT *, CASE kind WHEN 'heading' THEN repeat('#', greatest(level, 1)) || ' ' || text WHEN 'list' THEN '- ' || text WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' ELSE text END AS t,
          lag(kind) OVER (PARTITION BY source, page ORDER BY item_no) AS last
@@ -346,11 +347,12 @@ markdown AS (
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as items of their source's pages."""
-    page, n = (F.col("doc_id") % 40).cast("int"), F.col("doc_id")
-    kind = F.get(F.array(*map(F.lit, ("heading", "list", "list", "text", "image", "code"))), (n % 6).cast("int"))
-    prov = F.when(n % 8 == 0, F.array().cast("array<int>")).otherwise(F.array(page, (n % 40 + n % 3).cast("int")))
-    return docs(spark, d).select("source", page.alias("page"), n.cast("int").alias("item_no"), kind.alias("kind"), (n % 4).cast("int").alias("level"), "text", prov.alias("prov"))
+    """Every document is a document whose sentences are its items, four a page; images have no text."""
+    sentences = docs(spark, d).select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", r"\. ", -1)).alias("item_no", "text"))
+    n, page = F.col("item_no"), F.floor(F.col("item_no") / 4).cast("int")
+    kind = F.get(F.array(*map(F.lit, ("heading", "list", "list", "text", "image", "code"))), n % 6)
+    prov = F.when(n % 8 == 0, F.array().cast("array<int>")).otherwise(F.array(page, page + n % 3))
+    return sentences.select("source", page.alias("page"), "item_no", kind.alias("kind"), (n % 4).alias("level"), F.when(n % 6 != 4, F.col("text")).alias("text"), prov.alias("prov"))
 
 
 @query(f"WITH {ITEMS_SQL} SELECT * FROM markdown")
@@ -366,15 +368,15 @@ def page_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     pages = F.array((F.col("doc_id") % 9 + 1).cast("int"), (F.col("doc_id") % 9 + 2).cast("int"))
-    return docs(spark, d).select("source", F.col("doc_id").cast("int").alias("block_no"), pages.alias("pages"), "text")
+    return docs(spark, d).select("source", F.col("doc_id").alias("block_no"), pages.alias("pages"), "text")
 
 
 OFFSETS_SQL = """placed AS (
-  SELECT source, doc_id::INT AS block_no, text, [(doc_id % 9 + 1)::INT, (doc_id % 9 + 2)::INT] AS pages,
-         coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM documents)"""
+  SELECT source, doc_id AS block_no, text, [(doc_id % 9 + 1)::INT, (doc_id % 9 + 2)::INT] AS pages,
+         coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents)"""
 
 
-@query(f"WITH {OFFSETS_SQL} SELECT source, block_no, start, (start + length(text))::INT AS stop FROM placed")
+@query(f"WITH {OFFSETS_SQL} SELECT source, block_no, start, (start + length(text))::BIGINT AS stop FROM placed")
 def block_offsets(spark: SparkSession, d: str) -> DataFrame:
     return ch.with_offsets(_blocks(spark, d)).select("source", "block_no", "start", "stop")
 
