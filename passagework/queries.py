@@ -16,7 +16,7 @@ from .functions.numeric import sigmoid
 from .functions.text import basename, citations, collapse_ws, fixed3, html_escape, is_blank, linked_citations, tokens, truncated
 from .operators import answer as an
 from .operators import chunk as ch
-from .operators import cells, diagnose, fuse, lexical
+from .operators import by_row, cells, diagnose, fuse, lexical
 from .operators.dense import dense_search
 from .operators.gallery import gallery_plan, gallery_search
 from .operators.rerank import rerank
@@ -676,6 +676,56 @@ def settings_parse(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "command string, consumed boolean, top_n int, temperature double, mode string, rerank boolean, rerank_k int, sources string")
 
 
+#: What questions ask for, by their id modulo seven; valid and not.
+LINES = [
+    ["/mode=DENSE", "/top_n=2"], ["/mode=bm25", "/sources= src1 , src2 ", "/top_n=x"], ["/top_n=4", "/sources=src1,nowhere", "/rerank=maybe"], ["/ TOP_N =5", "/sources=src3", "/sources=all"],
+    ["hello", "/mode=semantic", "/rerank=yes", "/rerank_k=7"], ["/temperature=0.7", "/top_n=0", "/sources=src0,,src5,"], ["/mode=bm25", "/mode=dense", "/sources=", "/rerank=on", "/rerank=0", "/nonsense=1"],
+]
+LINES_SQL = f"""lined AS (SELECT item_id AS qid, [{", ".join(str(x) for x in LINES)}][item_id % 7 + 1] AS lines FROM benchmark),
+line AS (SELECT qid, generate_subscripts(lines, 1) AS pos, trim(unnest(lines)) AS line FROM lined),
+command AS (SELECT qid, pos, lower(trim(split_part(substr(line, 2), '=', 1))) AS name, trim(CASE WHEN instr(line, '=') > 0 THEN substr(line, instr(line, '=') + 1) ELSE '' END) AS value FROM line WHERE line LIKE '/%'),
+names AS (SELECT qid, pos, list_filter(list_transform(string_split(value, ','), lambda x: trim(x)), lambda x: x <> '') AS names, lower(value) = 'all' AS every FROM command WHERE name = 'sources'),
+known AS (SELECT list(DISTINCT source) AS known FROM documents),
+chosen AS (SELECT qid, max_by(CASE WHEN every THEN ['*'] ELSE names END, pos) AS names FROM names, known WHERE every OR len(names) > 0 AND list_has_all(known, names) GROUP BY qid),
+valid AS (SELECT qid, pos, name, value FROM command WHERE CASE name WHEN 'top_n' THEN coalesce(try_cast(value AS INT), 0) >= 1 WHEN 'rerank_k' THEN coalesce(try_cast(value AS INT), 0) >= 1
+  WHEN 'temperature' THEN try_cast(value AS DOUBLE) IS NOT NULL WHEN 'mode' THEN lower(value) IN ('dense', 'bm25', 'hybrid') WHEN 'rerank' THEN lower(value) IN ('on', 'true', '1', 'yes', 'off', 'false', '0', 'no') ELSE false END),
+latest AS (SELECT qid, name, max_by(value, pos) AS value FROM valid GROUP BY qid, name),
+options AS (
+  SELECT l.qid, coalesce((SELECT value::INT FROM latest v WHERE v.qid = l.qid AND name = 'top_n'), 3) AS top_n, coalesce((SELECT value::DOUBLE FROM latest v WHERE v.qid = l.qid AND name = 'temperature'), 0) AS temperature,
+         coalesce((SELECT lower(value) FROM latest v WHERE v.qid = l.qid AND name = 'mode'), 'hybrid') AS mode,
+         coalesce((SELECT lower(value) IN ('on', 'true', '1', 'yes') FROM latest v WHERE v.qid = l.qid AND name = 'rerank'), false) AS rerank,
+         coalesce((SELECT value::INT FROM latest v WHERE v.qid = l.qid AND name = 'rerank_k'), 30) AS rerank_k, CASE WHEN c.names = ['*'] THEN NULL ELSE c.names END AS sources
+  FROM lined l LEFT JOIN chosen c ON c.qid = l.qid)"""
+
+
+def _options(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.get(F.array(*(F.array(*map(F.lit, some)) for some in LINES)), (F.col("qid") % len(LINES)).cast("int"))
+    return by_row.options_of(items(spark, d).select("qid", lines.alias("lines")), docs(spark, d).select("source"))
+
+
+@query(f"WITH {LINES_SQL} SELECT * FROM options")
+def options_by_row(spark: SparkSession, d: str) -> DataFrame:
+    """Every question's settings, read from its own lines; names of sources are checked against the documents'."""
+    return _options(spark, d)
+
+
+@query(f"""WITH {ALL_DENSE_SQL}, {ALL_LEXICAL_SQL}, {LINES_SQL},
+asks AS (SELECT *, CASE WHEN rerank THEN greatest(rerank_k, top_n) ELSE top_n END AS depth FROM options),
+dr AS (SELECT a.qid, ord, score, row_number() OVER (PARTITION BY a.qid ORDER BY score DESC, ord) AS r FROM dense JOIN asks a ON a.qid = dense.qid AND a.mode <> 'bm25' AND (sources IS NULL OR list_contains(sources, source))),
+br AS (SELECT a.qid, ord, score, row_number() OVER (PARTITION BY a.qid ORDER BY score DESC, ord) AS r FROM bm25 JOIN asks a ON a.qid = bm25.qid AND a.mode <> 'dense' AND (sources IS NULL OR list_contains(sources, source))),
+fused AS (
+  SELECT qid, ord, round(coalesce(1.0::DOUBLE / (60 + dr.r), 0) + coalesce(1.0::DOUBLE / (60 + br.r), 0), 12) AS score, dr.r AS d, br.r AS b
+  FROM (SELECT dr.* FROM dr JOIN asks USING (qid) WHERE mode = 'hybrid' AND r <= greatest(4 * depth, 20)) dr
+  FULL JOIN (SELECT br.* FROM br JOIN asks USING (qid) WHERE mode = 'hybrid' AND r <= greatest(4 * depth, 20)) br USING (qid, ord))
+SELECT qid, ord, score, r::INT AS rank FROM dr JOIN asks USING (qid) WHERE mode = 'dense' AND r <= depth
+UNION ALL SELECT qid, ord, score, r::INT FROM br JOIN asks USING (qid) WHERE mode = 'bm25' AND r <= depth
+UNION ALL SELECT qid, ord, score, n::INT FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, d NULLS LAST, b NULLS LAST) AS n FROM fused) JOIN asks USING (qid) WHERE n <= depth""")
+def retrieve_by_row(spark: SparkSession, d: str) -> DataFrame:
+    """Every item asks by its own mode, depth and sources, in one plan."""
+    asked_all = items(spark, d).join(vectors(spark, d).withColumnRenamed("embedding", "vector"), F.col("qid") == F.col("vec_id"), "left").drop("vec_id")
+    return by_row.first_stages(corpus(spark, d), asked_all, _options(spark, d), index(spark, d)).select(HITS)
+
+
 @query(f"""SELECT doc_id, CASE WHEN length(t) > 60 THEN rtrim(left(t, 59)) || '…' ELSE t END AS shown, t = '' AS blank,
   replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped
 FROM (SELECT doc_id, trim(regexp_replace(text, {SPACES_SQL}, ' ', 'g')) AS t FROM documents)""")
