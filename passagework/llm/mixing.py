@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bit_filter, buckets_for, n_words, never_null, running_total, table, whole, whole_row, with_maybe
+from .common import WORD, bit_filter, buckets_for, n_words, never_null, running_total, table, whole, whole_row, with_maybe
 
 #: Words of the longest packet.
 QUANTUM = 256
@@ -105,12 +105,28 @@ def mix_table(docs: DataFrame, weights: Sequence[float] = (3, 1, 2)) -> DataFram
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
     """The mix as documents, whole ones only: each comes as often as its taken words fill it, rounded to the nearest
     (none, once, or up to max_repeats times). Rows of the same document share what their words were given, in the order
-    of a hash of their other columns; rows that are equal in all columns are folded before they are shuffled."""
+    of a hash of their other columns; rows that are equal in all columns are folded before they are shuffled.
+
+    Which whole documents a source gives is a matter of one digest a pass, which the scan compares; only documents with that
+    very digest, where the passes end, are joined with the plan."""
     key = ["_doc", "_source", "_size", "_hash"]
-    plan = schedule(docs, weights, share, max_repeats).select(never_null("doc_id").alias("_doc"), never_null("source").alias("_source"), F.col("size").alias("_size"), F.col("text_hash").alias("_hash"), "taken")
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    plan = schedule(docs, weights, share, max_repeats)
+    plan = table(plan.select(never_null("doc_id").alias("_doc"), never_null("source").alias("_source"), F.col("size").alias("_size"), F.col("text_hash").alias("_hash"), "taken", "first_start", "source_size", digest.alias("_digest")), "mix-schedule")
+    # a source's words are taken from the front of its queue, pass by pass: up to a digest whole documents, beyond it none
+    served = plan.groupBy("_source").agg(F.sum("taken").alias("_served"))
+    passes = [f"_end{p}" for p in range(max_repeats)]
+    left = lambda p: (F.col("_size") > 0) & (F.col("first_start") + F.col("_size") > F.col("_served") - p * F.col("source_size"))
+    ends = plan.join(served, "_source").groupBy("_source").agg(*(F.min(F.when(left(p), F.col("_digest"))).alias(name) for p, name in enumerate(passes)))
+    ends = table(ends, "mix-ends")
+    at_an_end = lambda row: sum((F.coalesce(row == F.col(e), F.lit(False)).cast("int") for e in passes), F.lit(0)) > 0
+    every = docs.select(whole_row(docs), "text", never_null("doc_id").alias("_doc"), never_null("source").alias("_source"), digest.alias("_digest")).join(ends, "_source")
+    whole_passes = sum(((F.col("_digest") < F.coalesce(F.col(e), F.lit("~"))).cast("long") for e in passes), F.lit(0).cast("long"))
+    plain = every.where(~at_an_end(F.col("_digest")) & F.rlike(whole("text"), F.lit(WORD))).select("_row", whole_passes.alias("_n"))
+    plan = plan.join(ends, "_source").where(at_an_end(F.col("_digest")))
     copies = F.when(F.col("_size") > 0, F.floor(F.col("taken") / F.col("_size") + 0.5)).otherwise(0)
     plan = table(plan.groupBy(*key).agg(F.sum(copies).cast("long").alias("_copies"), F.count("*").alias("_rows")), "mix-plan")
-    rows = docs.select(whole_row(docs), never_null("doc_id").alias("_doc"), never_null("source").alias("_source"), n_words("text").alias("_size"), F.xxhash64(whole("text")).alias("_hash"))
+    rows = every.where(at_an_end(F.col("_digest"))).select("_row", "_doc", "_source", n_words("text").alias("_size"), F.xxhash64(whole("text")).alias("_hash"))
     again = bit_filter(plan.where("_rows > 1"), F.struct(*key))
     rows = with_maybe(rows, F.struct(*key), again)
     once = rows.where("not _maybe").join(plan, key).withColumn("_n", F.col("_copies"))
@@ -118,5 +134,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     upto = F.sum("_same").over(Window.partitionBy(*key).orderBy("_alike"))
     share_of = lambda n: F.floor(n * F.col("_copies") / F.col("_rows"))
     several = alike.withColumn("_upto", upto).join(plan, key).withColumn("_n", share_of(F.col("_upto")) - share_of(F.col("_upto") - F.col("_same")))
-    given = once.select("_row", "_n").unionByName(several.select("_row", "_n")).where("_n > 0")
+    given = plain.unionByName(once.select("_row", "_n")).unionByName(several.select("_row", "_n")).where("_n > 0")
     return given.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
