@@ -44,6 +44,11 @@ def fixed3(x: Column) -> Column:
     return F.when(half, F.format_string("%.3f", F.bround(x.cast("decimal(24,6)"), 3).cast("double"))).otherwise(F.format_string("%.3f", x))
 
 
+def percent(x: Column) -> Column:
+    """A share as whole per cent; halves go to the even one."""
+    return F.format_string("%.0f%%", F.bround((x * 100).cast("double"), 0))
+
+
 def basename(path: Column) -> Column:
     """The last part of a path; not URL-decoded, as readers give paths plain."""
     return F.element_at(F.split(path, "/"), -1)

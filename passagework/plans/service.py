@@ -22,14 +22,14 @@ EXTRACTOR_VERSION, VISION_VERSION = "text-1", "names-1"
 
 
 class Service:
-    """Documents and images of two folders, in a store, with pluggable models."""
+    """Documents and images of two folders, in a store of so many buckets, with pluggable models."""
 
     def __init__(
         self, spark: SparkSession, docs: str, store: str, images: str | None = None, embedder: Embedder | None = None, scorer: PairScorer | None = None,
-        generator: Generator | None = None, extractor: Extractor | None = None, captioner: Captioner | None = None, suffix: str = "pdf",
+        generator: Generator | None = None, extractor: Extractor | None = None, captioner: Captioner | None = None, suffix: str = "pdf", buckets: int = 64,
     ) -> None:
         self.spark, self.docs, self.images, self.suffix = spark, docs, images, suffix
-        self.store = Store(spark, store)
+        self.store = Store(spark, store, buckets)
         self.embedder, self.scorer, self.generator = embedder or HashEmbedder(), scorer or OverlapScorer(), generator or QuotingGenerator()
         self.extractor, self.captioner = extractor or PlainTextExtractor(), captioner or NameCaptioner()
 

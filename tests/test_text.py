@@ -79,3 +79,11 @@ def test_sigmoid(spark):
 def test_cosine(spark):
     got = spark.sql("SELECT array(1f, 0f) AS a, array(1f, 1f) AS b, array(0f, 0f) AS z").select(numeric.cosine(F.col("a"), F.col("b")), numeric.cosine(F.col("a"), F.col("z"))).first()
     assert got[0] == pytest.approx(0.5**0.5) and got[1] is None
+
+
+def test_percent(spark):
+    from passagework.functions.text import percent
+
+    shares = [0.0, 0.005, 0.015, 0.125, 0.2, 0.999, 1.0, 0.375]
+    found = spark.createDataFrame([(x,) for x in shares], "x double").select("x", percent(F.col("x")).alias("p")).collect()
+    assert {r.x: r.p for r in found} == {x: f"{x:.0%}" for x in shares}
