@@ -70,7 +70,10 @@ class Service:
     def retrieve(self, texts: list[str], options: Options = Options(top_n=4, rerank=True)) -> DataFrame:
         scorer = self.scorer
         score = pair_scores(type(scorer).__name__, lambda: scorer, F.col("query"), F.col("text")) if options.rerank else None
-        index = PostingsIndex(self.store.read("postings"), self.store.read("lengths"), self.store.read("impacts"))
+        # a store that was written before there were impacts has them only where a sync has been since
+        parts = self.store.parts()
+        complete = set(parts.get("impacts", {})) == set(parts.get("postings", {}))
+        index = PostingsIndex(self.store.read("postings"), self.store.read("lengths"), self.store.read("impacts") if complete else None)
         return retrieve(self.store.read("corpus"), self.queries(texts), options, score, index)
 
     def search(self, texts: list[str], options: Options = Options(top_n=4, rerank=True)) -> DataFrame:

@@ -160,7 +160,7 @@ def test_one_changed_file_writes_one_bucket(service, at, spark):
     assert service.refresh() == 1000
     after = service.store.parts()
     (bucket,) = [str(r.b) for r in spark.createDataFrame([("f7.pdf",)], "source string").select(service.store.bucket().alias("b")).collect()]
-    for table in ("corpus", "manifest", "postings", "lengths"):
+    for table in ("corpus", "manifest", "postings", "impacts", "lengths"):
         assert {b for b in before[table] if before[table][b] != after[table][b]} == {bucket} and len(after[table]) == service.store.buckets
     assert service.store.vacuum() == 0  # older folders still hold the other buckets
     found = service.search(["other"], Options(top_n=1, mode="bm25")).first()
@@ -174,7 +174,7 @@ def test_folders_without_a_reader_go(service, at):
     service.refresh()
     at.write("a.pdf", "two")
     service.refresh()
-    assert service.store.vacuum() == 4 and [r.text for r in service.store.read("corpus").collect()] == ["two"]
+    assert service.store.vacuum() == 5 and [r.text for r in service.store.read("corpus").collect()] == ["two"]
 
 
 def test_store_starts_empty(spark, tmp_path):
