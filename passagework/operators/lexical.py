@@ -37,6 +37,8 @@ MAX_QUERIES = 10_000
 FIRST, ROUNDING = 8, 1e-8
 #: From so many (query, posting) rows on a search prunes; with fewer its further steps cost more than they save.
 PRUNE_FROM = 20_000_000
+#: Bytes of stored postings below which that isn't counted: no search of so few gains by it.
+PRUNE_BYTES = 64 << 20
 
 
 def postings_of(corpus: DataFrame) -> DataFrame:
@@ -129,6 +131,9 @@ def bm25_search(
 
 
 def _worth_pruning(index: PostingsIndex, queries: DataFrame) -> bool:
+    """By the planner's size of the stored postings, which costs no job, and then by how many of them the queries meet."""
+    if int(str(index.postings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < PRUNE_BYTES:
+        return False
     wanted = query_terms(queries)
     vocabulary = wanted.select("term").distinct()
     met = index.narrowed(index.impacts, vocabulary).join(wanted, "term").agg(F.sum("n")).first()[0]
