@@ -18,7 +18,7 @@ from ..functions.numeric import dot, rrf_term
 from ..functions.text import is_blank
 from ..plans.settings import FALSY, MODES, TRUTHY, Settings
 from ..sources.postings import PostingsIndex
-from .lexical import in_blocks, matches, ranked
+from .lexical import corpus_weights, in_blocks, index_weights, matches, meets_many, ranked, scanned_matches
 
 DEFAULT = Settings()
 
@@ -80,7 +80,11 @@ def _first_stages(corpus: DataFrame, asked: DataFrame, index: PostingsIndex | No
     dense = ranked(pairs.select("qid", "id", "ord", "source", cosine.alias("score")), most)
 
     worded = asked.where("mode <> 'dense'").select("qid", "query", "sources")
-    found = passing(matches(corpus, worded.select("qid", "query"), index=index).join(F.broadcast(worded.select("qid", "sources")), "qid"), False)
+    able = index is not None and index.impacts is not None
+    if index is None or (able and meets_many(index, worded)):
+        found = scanned_matches(corpus, worded, most, index_weights(index, worded) if able else corpus_weights(corpus, worded))
+    else:
+        found = passing(matches(index, worded).join(F.broadcast(worded.select("qid", "sources")), "qid"), False)
     top = ranked(found.select(columns), most)
     # passages without a match fill up, in store order: the first of each source are enough
     order = Window.partitionBy("source").orderBy("ord", "id")

@@ -1,16 +1,15 @@
 """BM25 over a corpus: statistics, postings, and top passages for many queries at once.
 
-Postings are counted once and stored (`sources.postings`); a search with them reads no text. Without them the queries'
-words meet the texts in the scan.
+Postings are counted once and stored (`sources.postings`); a search of few words by them reads no text. Without them, and
+where queries meet too many postings, passages are scored where their texts are read (`in_rows`).
 
 Scores are the Lucene form: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), term weight tf / (tf + k1 * (1 - b + b * dl /
 avgdl)), summed over a query's words with repeats. N, df and avgdl are the whole corpus's, whatever the source filter.
 Passages without a query word score 0 and still rank, in store order.
 
 With stored impacts a search prunes, without changing its result. The FIRST ranges of passages whose words' bounds add up to
-most are scored; the k-th best score there is the query's threshold. Words whose bounds together stay below it can't bring a
-passage among the best by themselves: only the others' postings (the essential words'), in ranges that can reach the threshold,
-propose passages, with what they score so far. Of these, those that could still reach it with all other words are scored whole.
+most are scored by their postings; the k-th best score there is the query's threshold. Ranges whose bounds stay below it for
+all queries are left out; the passages of the others are scored in the scan, and only what reaches a threshold goes on.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 from ..sources.work import work_table
+from .in_rows import ROUNDING, best_in_rows
 
 if TYPE_CHECKING:
     from ..sources.postings import PostingsIndex
@@ -33,11 +33,11 @@ if TYPE_CHECKING:
 K1, B = 1.5, 0.75
 #: Queries that go in one block, about.
 MAX_QUERIES = 10_000
-#: Ranges that are scored for a query's threshold; what bounds may lack by the rounding of scores.
-FIRST, ROUNDING = 8, 1e-8
-#: From so many (query, posting) rows on a search prunes; with fewer its further steps cost more than they save.
+#: Ranges that are scored for a query's threshold.
+FIRST = 8
+#: From so many (query, posting) rows on a search scans the texts; with fewer the postings cost less.
 PRUNE_FROM = 20_000_000
-#: Bytes of stored postings below which that isn't counted: no search of so few gains by it.
+#: Bytes of stored postings below which that isn't counted.
 PRUNE_BYTES = 64 << 20
 
 
@@ -78,19 +78,43 @@ def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> D
     return reduce(DataFrame.unionByName, (search(queries.where(block == i)) for i in range(blocks)))
 
 
-def matches(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, index: PostingsIndex | None = None) -> DataFrame:
-    """qid, id, ord, source, score of all passages with a query word.
+def matches(index: PostingsIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, id, ord, source, score of all passages with a query word, by the stored postings.
 
-    The queries' words meet the stored postings, or else the corpus, in a join below any shuffle, so that only postings
-    of those words are counted and shuffled.
+    The queries' words meet the postings in a join below any shuffle, so that only postings of those words are shuffled; but
+    each as often as queries have its word, so this is for few of them.
     """
     wanted = query_terms(queries)
+    return score_postings(index.of(wanted.select("term").distinct()), index.stats(), wanted, k1, b)
+
+
+def weights_of(wanted: DataFrame, dfs: DataFrame, stats: DataFrame) -> DataFrame:
+    """qid, term, weight, avgdl of the queries' words, from their document frequencies (term, df) and stats (n, avgdl)."""
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return dfs.crossJoin(F.broadcast(stats)).join(wanted, "term").select("term", "qid", (F.col("qtf") * idf).alias("weight"), "avgdl")
+
+
+def corpus_weights(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same by a scan of the texts, in which only counts of the queries' words are shuffled."""
+    wanted = query_terms(queries)
+    words = corpus.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    dfs = words.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return weights_of(wanted, dfs, corpus_stats(corpus))
+
+
+def index_weights(index: PostingsIndex, queries: DataFrame) -> DataFrame:
+    """The same by what is stored with the postings."""
+    wanted = query_terms(queries)
     vocabulary = wanted.select("term").distinct()
-    if index is not None:
-        return score_postings(index.of(vocabulary), index.stats(), wanted, k1, b)
-    words = corpus.withColumn("_tokens", tokens(F.col("text"))).select("id", "ord", "source", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
-    postings = words.join(vocabulary, "term", "left_semi").groupBy("term", "id", "ord", "source", "dl").agg(F.count("*").alias("tf"))
-    return score_postings(postings, corpus_stats(corpus), wanted, k1, b)
+    dfs = index.narrowed(index.impacts, vocabulary).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    return weights_of(wanted, dfs, index.stats())
+
+
+def scanned_matches(corpus: DataFrame, queries: DataFrame, top_k: int, weights: DataFrame) -> DataFrame:
+    """qid, id, ord, source, score of the passages that may be among the top_k of a query, by a scan of the texts. Queries
+    (qid) may have `sources` of their own."""
+    limits = queries.select("qid", "sources", F.lit(None).cast("double").alias("least")) if "sources" in queries.columns else None
+    return best_in_rows(corpus, weights, top_k, K1, B, limits)
 
 
 def score_postings(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -124,13 +148,13 @@ def bm25_search(
     """qid, id, ord, source, score, rank: the best passages of every query, those without a match filling up.
 
     A query with fewer matches than top_k is filled from the first passages in store order. It has fewer than top_k
-    matches, so the first 2 * top_k passages are enough to fill it: no query meets all passages. `prune`: whether to score
-    only passages that can be among the best; by default that is decided by the number of postings.
+    matches, so the first 2 * top_k passages are enough to fill it: no query meets all passages. `prune`: whether ranges that
+    can't be among the best are left out; by default the number of postings decides between them and a scan of the texts.
     """
     return in_blocks(queries, lambda block: _bm25_block(corpus, block, top_k, sources, index, prune))
 
 
-def _worth_pruning(index: PostingsIndex, queries: DataFrame) -> bool:
+def meets_many(index: PostingsIndex, queries: DataFrame) -> bool:
     """By the planner's size of the stored postings, which costs no job, and then by how many of them the queries meet."""
     if int(str(index.postings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < PRUNE_BYTES:
         return False
@@ -140,16 +164,14 @@ def _worth_pruning(index: PostingsIndex, queries: DataFrame) -> bool:
     return (met or 0) >= PRUNE_FROM
 
 
-def pruned_matches(index: PostingsIndex, queries: DataFrame, top_k: int, sources: list[str] | None) -> DataFrame:
+def pruned_matches(corpus: DataFrame, index: PostingsIndex, queries: DataFrame, top_k: int, sources: list[str] | None) -> DataFrame:
     """qid, id, ord, source, score of the passages with a query word that may be among the top_k of a query."""
     from ..sources.postings import block_of
 
     wanted = query_terms(queries)
     vocabulary = wanted.select("term").distinct()
     impacts = index.narrowed(index.impacts, vocabulary)
-    dfs = impacts.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = dfs.crossJoin(F.broadcast(index.stats())).join(wanted, "term").select("term", "qid", (F.col("qtf") * idf).alias("weight"), "avgdl")
+    weights = index_weights(index, queries)
     weights = work_table(weights, "weights")
 
     bound = F.col("weight") * F.col("impact") * F.greatest(F.lit(1.0), F.col("avgdl") / F.col("at_avgdl"))
@@ -164,31 +186,25 @@ def pruned_matches(index: PostingsIndex, queries: DataFrame, top_k: int, sources
     key, passage = ["term", "_source", "_block"], ["qid", "id", "ord", "source"]
 
     needed = ranges.where(F.col("place") <= FIRST).select("qid", "_source", "_block").join(weights, "qid")
-    first = work_table(postings.join(needed, key).groupBy(*passage).agg(part.alias("score")), "scored")
+    first = postings.join(needed, key).groupBy(*passage).agg(part.alias("score"))
     least = ranked(first.withColumn("score", F.round("score", 9)), top_k).where(F.col("rank") == top_k).select("qid", (F.col("score") - ROUNDING).alias("_least"))
     least = work_table(least, "thresholds")
 
-    # words in the order of their bounds, with what they and those before them can score; no threshold: all are essential
-    upto = F.sum("most").over(Window.partitionBy("qid").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    words = bounds.groupBy("qid", "term").agg(F.max("most").alias("most")).withColumn("_upto", upto).join(least, "qid", "left")
-    words = words.withColumn("_essential", F.col("_least").isNull() | (F.col("_upto") >= F.col("_least")))
-    words = words.withColumn("_others", F.coalesce(F.max(F.when(~F.col("_essential"), F.col("_upto"))).over(Window.partitionBy("qid")), F.lit(0.0)))
-    essential = work_table(words.where("_essential").select("qid", "term", "_others", "_least").join(weights, ["qid", "term"]), "essential")
-
-    others = ranges.where(F.col("place") > FIRST).join(least, "qid", "left").where(F.col("_least").isNull() | (F.col("most") >= F.col("_least"))).select("qid", "_source", "_block")
-    proposed = postings.join(others.join(essential, "qid"), key).groupBy(*passage, "_others", "_least").agg(part.alias("score"))
-    proposed = work_table(proposed.where("_least is null or score + _others >= _least"), "proposed")
-    rest = proposed.select("qid", "id", "ord").join(weights, "qid")
-    found = first.unionByName(postings.join(rest, ["term", "id", "ord"]).groupBy(*passage).agg(part.alias("score")))
-    return found.withColumn("score", F.round("score", 9))
+    # no threshold: all of a query's ranges are looked at
+    live = ranges.join(least, "qid", "left").where(F.col("_least").isNull() | (F.col("most") >= F.col("_least"))).select("_source", "_block").distinct()
+    near = allowed(corpus, sources).withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_block", block_of(F.col("ord"))).join(live, ["_source", "_block"], "left_semi")
+    return best_in_rows(near, weights, top_k, K1, B, least.select("qid", F.lit(None).cast("array<string>").alias("sources"), F.col("_least").alias("least")))
 
 
 def _bm25_block(corpus: DataFrame, queries: DataFrame, top_k: int, sources: list[str] | None, index: PostingsIndex | None, prune: bool | None) -> DataFrame:
     able = index is not None and index.impacts is not None and sources != []
-    if able and (_worth_pruning(index, queries) if prune is None else prune):
-        found = pruned_matches(index, queries, top_k, sources)
+    if able and prune:
+        found = pruned_matches(corpus, index, queries, top_k, sources)
+    elif index is None or (able and prune is None and meets_many(index, queries)):
+        weights = corpus_weights(corpus, queries) if index is None else index_weights(index, queries)
+        found = scanned_matches(allowed(corpus, sources), queries, top_k, weights)
     else:
-        found = allowed(matches(corpus, queries, index=index), sources)
+        found = allowed(matches(index, queries), sources)
     top = ranked(found, top_k)
     pool = allowed(corpus, sources).select("id", "ord", "source").orderBy("ord", "id").limit(2 * top_k)
     full = top.where(F.col("rank") == top_k).select("qid")

@@ -82,3 +82,29 @@ def test_pruned_searches_find_what_all_postings_give(spark, tmp_path, monkeypatc
         want = {tuple(x) for x in lexical.bm25_search(corpus, queries, k, sources, PostingsIndex(index.postings, index.lengths)).collect()}
         assert {tuple(x) for x in lexical.bm25_search(corpus, queries, k, sources, index, prune=True).collect()} == want
     assert {x.term: x.df for x in index.impacts.groupBy("term").agg({"n": "sum"}).withColumnRenamed("sum(n)", "df").collect()} == {x.term: x.df for x in lexical.term_df(corpus).collect()}
+
+
+def test_searches_of_texts_shuffle_no_pairs(spark):
+    """Pairs of a query and a passage aren't grouped, which shuffled them; passages are scored in the scan."""
+    corpus, asked = queries.corpus(spark, SF), every(spark)
+    plan = lexical.bm25_search(corpus, asked, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate [qid" not in plan
+
+
+def test_hybrid_of_all_items_reads_texts(spark, monkeypatch):
+    """No postings are built for a search that would meet nearly all of them."""
+    monkeypatch.setattr(queries, "kept_index", lambda *_: pytest.fail("postings"))
+    assert queries.hybrid_all_items(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("cells", [1, 40, 250_000])
+def test_scans_give_what_postings_give(spark, tmp_path, monkeypatch, cells):
+    """A few passages at a time or many; ties, empty texts, null sources, a filter."""
+    r = random.Random(cells)
+    rows_ = [(str(i), i, r.choice(["a", "b", None]), " ".join(r.choice("x y z w v".split()) for _ in range(r.randint(0, 6)))) for i in range(80)]
+    corpus = spark.createDataFrame(rows_, "id string, ord long, source string, text string")
+    asked = spark.createDataFrame([(1, "x y"), (2, "z z"), (3, "nothing"), (4, "v")], "qid int, query string")
+    monkeypatch.setattr("passagework.operators.in_rows.CELLS", cells)
+    index = PostingsIndex.write(corpus, str(tmp_path / "i"))
+    for sources in (None, ["a"]):
+        assert rows(lexical.bm25_search(corpus, asked, 4, sources)) == rows(lexical.bm25_search(corpus, asked, 4, sources, index, prune=False))
