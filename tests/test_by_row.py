@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from passagework.operators import by_row
 from passagework.operators.retrieve import Options, first_stage
 from passagework.plans.settings import Settings, handle
+from passagework.sources.postings import PostingsIndex
 
 KNOWN = ["a.pdf", "b.pdf", "c d.pdf"]
 LINES = [
@@ -48,3 +49,17 @@ def test_one_plan_gives_what_each_set_of_options_gives(spark):
         one = first_stage(corpus, questions.where(F.col("qid") == qid), Options(top_n, mode, again, rerank_k, sources))
         assert mine == {tuple(x) for x in one.collect()}, (mode, sources)
     assert by_row.first_stages(corpus.limit(0), questions, table).count() == 0
+
+
+def test_many_postings_are_left_for_the_texts(spark, tmp_path, monkeypatch):
+    """A block that meets too many postings is scored in the scan, by each row's own sources, with the same rows."""
+    corpus = spark.createDataFrame([(str(i), i, "st"[i % 2], "red green"[: 3 + i % 7], [1.0, 0.5 * i]) for i in range(40)], "id string, ord long, source string, text string, embedding array<float>")
+    questions = spark.createDataFrame([(1, "red", [1.0, 0.0]), (2, "green red", [0.0, 1.0]), (3, "red", None)], "qid long, query string, vector array<float>")
+    options = spark.createDataFrame([(1, 5, "bm25", False, 8, ["s"]), (2, 3, "hybrid", False, 8, None), (3, 4, "bm25", False, 8, [])], "qid long, top_n int, mode string, rerank boolean, rerank_k int, sources array<string>")
+    index = PostingsIndex.write(corpus, str(tmp_path / "i"))
+    found = lambda: sorted(map(tuple, by_row.first_stages(corpus, questions, options, index).collect()))
+    few = found()
+    monkeypatch.setattr("passagework.operators.lexical.PRUNE_BYTES", 0)
+    monkeypatch.setattr("passagework.operators.lexical.PRUNE_FROM", 0)
+    monkeypatch.setattr(by_row, "matches", lambda *_: 1 / 0)
+    assert found() == few
