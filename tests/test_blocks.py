@@ -108,3 +108,11 @@ def test_scans_give_what_postings_give(spark, tmp_path, monkeypatch, cells):
     index = PostingsIndex.write(corpus, str(tmp_path / "i"))
     for sources in (None, ["a"]):
         assert rows(lexical.bm25_search(corpus, asked, 4, sources)) == rows(lexical.bm25_search(corpus, asked, 4, sources, index, prune=False))
+
+
+def test_pruned_searches_shuffle_no_pairs(spark, tmp_path):
+    """What ranges leave is scored in the scan, by the ranges' thresholds."""
+    corpus, asked = queries.passages(spark, SF), every(spark).where("qid < 3")
+    index = PostingsIndex.write(corpus, str(tmp_path / "i"))
+    plan = lexical.bm25_search(corpus, asked, 5, index=index, prune=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate [qid" not in plan
