@@ -153,12 +153,44 @@ def _split_rows(documents: DataFrame) -> DataFrame:
     return split.select("source", F.posexplode(placed).alias("chunk_ix", "_p")).select("source", F.col("chunk_ix").cast("long").alias("chunk_ix"), "_p.text", "_p.page_list")
 
 
-def _split_segments(parts: DataFrame, blocks: DataFrame, segment: int = segments.SEGMENT) -> DataFrame:
-    """The same of documents that are segments (source, k, text), from their blocks (source, start, stop, pages)."""
-    parts = work_table(parts, "parts")
-    passages = work_table(segments.passages_of(parts, segment=segment).select("source", "chunk_ix", "text"), "split")
-    firsts = occurrences.first_occurrences(parts, passages, segment=segment)
-    return occurrences.pages_under(passages.join(firsts, ["source", "text"], "left"), blocks).select("source", "chunk_ix", "text", "page_list")
+def _split_segments(parts: DataFrame, segment: int = segments.SEGMENT) -> DataFrame:
+    """The same of documents that are segments with their neighbours' ends and the blocks beneath (source, k, text, before, after,
+    starts, stops, pages). Only numbers are shuffled: passages are found, looked for and at last written in scans of the segments."""
+    near = segments.entered(segments.with_neighbours(parts))
+    found = work_table(occurrences.placed(near, segment=segment), "placed")
+    wanted = work_table(found.groupBy("source", "key", "n", "length", "digest").agg(F.min("start").alias("start"), F.count("*").alias("rows")), "keyed")
+    firsts = wanted.join(occurrences.earlier(near, wanted.drop("rows"), segment=segment), ["source", "length", "digest"], "left")
+    firsts = work_table(firsts.where("first is not null or rows > 1").select("source", "length", "digest", F.coalesce("first", "start").alias("first")), "firsts")
+    # what occurs before its own place gets the pages there, the rest those of its own
+    moved = work_table(found.select("source", "k", "i", "start", "length", "digest").join(firsts, ["source", "length", "digest"]).where("first <> start").select("source", "k", "i", "first", "length"), "moved")
+    spans = parts.select("source", F.explode(F.arrays_zip("starts", "stops", "pages")).alias("_s")).select("source", F.col("_s.starts").alias("start"), F.col("_s.stops").alias("stop"), F.col("_s.pages").alias("pages"))
+    pages = moved.join(occurrences.pages_under(moved, spans), ["source", "first", "length"], "left").select("source", "k", "i", F.coalesce("page_list", F.array().cast("array<int>")).alias("page_list"))
+    told = segments.numbered(found).join(pages.groupBy("source", "k").agg(F.map_from_entries(F.collect_list(F.struct("i", "page_list"))).alias("moved")), ["source", "k"], "left")
+    return _written(near.join(work_table(told, "told"), ["source", "k"]), segment)
+
+
+def _written(told: DataFrame, segment: int) -> DataFrame:
+    """source, chunk_ix, text, page_list of the passages that begin in segments."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, k, text, before, after, odd, entry, starts, stops, pages, first_ix, moved in batch[columns].itertuples(index=False):
+                order = sorted(range(len(starts)), key=starts.__getitem__)
+                spans, rows, moved = [(starts[i], stops[i], pages[i]) for i in order], [], dict(moved or {})
+                last = [s[1] for s in spans]
+                for i, (at, passage) in enumerate(segments.Sliced(text, before, after, odd, CHUNK_SIZE, CHUNK_OVERLAP).passages(entry)):
+                    if i not in moved:
+                        at, on = at + k * segment, set()
+                        j = bisect_right(last, at)
+                        while j < len(spans) and spans[j][0] < at + len(passage):
+                            on.update(() if spans[j][2] is None else map(int, spans[j][2]))
+                            j += 1
+                        moved[i] = sorted(on)
+                    rows.append((source, first_ix + i, passage, moved[i]))
+                yield pd.DataFrame(rows, columns=["source", "chunk_ix", "text", "page_list"])
+
+    columns = ["source", "k", "text", "before", "after", "odd", "entry", "starts", "stops", "pages", "first_ix", "moved"]
+    return told.select(columns).mapInPandas(each, "source string, chunk_ix long, text string, page_list array<int>")
 
 
 def chunks_of(documents: DataFrame, segment: int = segments.SEGMENT) -> DataFrame:
@@ -167,18 +199,18 @@ def chunks_of(documents: DataFrame, segment: int = segments.SEGMENT) -> DataFram
     found = _split_rows(documents.where(~long))
     if not documents.where(long).isEmpty():
         documents = documents.where(long)
-        spans = documents.select("source", F.explode("offsets").alias("_o")).select("source", F.col("_o.s").cast("long").alias("start"), F.col("_o.e").cast("long").alias("stop"), F.col("_o.pages").alias("pages"))
-        found = found.unionByName(_split_segments(segments.segments_of_documents(documents, segment), spans, segment))
+        part = lambda name, kind: F.transform("offsets", lambda o: o[name].cast(kind)).alias(f"{name}_")
+        cut = documents.select("source", "text", part("s", "long"), part("e", "long"), part("pages", "array<int>")).toDF("source", "text", "starts", "stops", "pages")
+        found = found.unionByName(_split_segments(segments.slices_of_documents(cut, segment), segment))
     return _named(found)
 
 
 def chunks_of_blocks(blocks: DataFrame, segment: int = segments.SEGMENT) -> DataFrame:
     """The same from blocks (source, block_no, pages, text), whose documents are their texts joined by the page separator."""
-    placed = work_table(with_offsets(blocks.where(~is_blank(F.col("text")))), "blocks")
-    long = placed.groupBy("source").agg(F.max("stop").alias("_size")).where(F.col("_size") > segment).select("source")
-    long = work_table(long, "long")
-    found = _split_rows(documents_of(blocks.join(long, "source", "left_anti")))
+    kept = blocks.where(~is_blank(F.col("text")))
+    sizes = kept.groupBy("source").agg((F.sum(F.length("text").cast("long") + len(PAGE_SEPARATOR)) - len(PAGE_SEPARATOR)).alias("_size"))
+    long = work_table(sizes.where((F.col("_size") > segment) & F.col("source").isNotNull()).select("source"), "long")
+    found = _split_rows(documents_of(kept.join(long, "source", "left_anti")))
     if not long.isEmpty():
-        some = placed.join(long, "source", "left_semi")
-        found = found.unionByName(_split_segments(segments.segments_of_blocks(some, segment=segment), some.select("source", "start", "stop", "pages"), segment))
+        found = found.unionByName(_split_segments(segments.segments_of_blocks(kept.join(long, "source", "left_semi"), segment=segment), segment))
     return _named(found)

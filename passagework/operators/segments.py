@@ -11,6 +11,10 @@ start at which it enters the next. If a run begins in the segment that function
 families of FAMILY segments, those by families again, up to the document; then every segment is told its entry, downwards,
 and writes its passages. Neither a task nor a row grows with a document.
 
+Texts are shuffled once. Where a run of blocks begins in its document is known from their lengths; the runs' texts are dealt to
+tasks and sorted there, and a task cuts its run into slices: a segment with its neighbours' ends and the blocks beneath. The slices
+at a run's ends, which two runs or more hold parts of, are put together by a second, small shuffle.
+
 Nulls: a document without text has no passages. Passages of white space are left out. An empty table gives an empty result.
 Repeated documents of the same name aren't told apart: names must be unique.
 """
@@ -19,9 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,8 +38,8 @@ from ..sources.work import work_table
 
 #: Code points of a segment (an even number, so that whole segments of line ends keep their parity); segments of a family.
 SEGMENT, FAMILY = 1 << 16, 512
-#: Segments that are numbered in one window.
-BUCKET = 4_096
+#: Segments, or block numbers, that are numbered in one window; segments of blocks that a task puts together at least.
+BUCKET, RUN = 4_096, 128
 
 
 def segments_of_documents(documents: DataFrame, segment: int = SEGMENT) -> DataFrame:
@@ -41,22 +47,98 @@ def segments_of_documents(documents: DataFrame, segment: int = SEGMENT) -> DataF
     return documents.select("source", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{segment}}}"), F.lit(0))).alias("k", "text")).withColumn("k", F.col("k").cast("long"))
 
 
-def segments_of_blocks(blocks: DataFrame, separator: str = PAGE_SEPARATOR, segment: int = SEGMENT) -> DataFrame:
-    """source, k, text from blocks (source, block_no, text), whose documents are their texts joined by the separator; blank
-    blocks are left out. Blocks may be longer than a segment."""
-    kept = blocks.where(~is_blank(F.col("text"))).select("source", "block_no", "text")
-    first = kept.groupBy("source").agg(F.min("block_no").alias("_first"))
-    joined = kept.join(first, "source").withColumn("text", F.when(F.col("block_no") > F.col("_first"), F.concat(F.lit(separator), "text")).otherwise(F.col("text")))
-    parts = joined.select("source", "block_no", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{segment}}}"), F.lit(0))).alias("part", "text"))
-    placed = placed_by(parts, ["block_no", "part"], F.floor(F.col("block_no") / BUCKET), F.length("text").cast("long"), "start")
-    # a part is no longer than a segment, so it lies in one or two
-    k = F.floor(F.col("start") / segment)
-    room = ((k + 1) * segment - F.col("start")).cast("int")
-    piece = lambda number, text: F.struct(number.cast("long").alias("k"), text.alias("text"))
-    cut = F.array(piece(k, F.substring("text", F.lit(1), room)), piece(k + 1, F.substring("text", room + 1, F.length("text"))))
-    pieces = placed.select("source", "start", F.explode(cut).alias("_p")).select("source", "start", "_p.*").where("text <> ''")
-    listed = F.array_sort(F.collect_list(F.struct("start", "text")))
-    return pieces.groupBy("source", "k").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("text"))
+def ends(size: int) -> tuple[int, int]:
+    """How many code points of its neighbours a segment sees: behind, and ahead (one more than is needed, to see that there is one)."""
+    return 2 * size + 2, 3 * size + 3
+
+
+SLICE = "source string, k long, begin long, slice string, starts array<long>, stops array<long>, pages array<array<int>>"
+
+
+def _slices(run: Iterator[tuple[str, list[int] | None]], begin: int, total: int, separator: str, segment: int, size: int) -> Iterator[tuple]:
+    """The slices of a run of blocks (text, pages) that begins at a place of its document: k, begin, slice, starts, stops and
+    pages of its blocks, and whether that is the whole slice."""
+    behind, ahead = ends(size)
+    k, at, place, held, parts, spans = max(0, (begin - ahead) // segment), begin, begin, "", [], []
+
+    def cut(stop: int) -> tuple:
+        start = max(k * segment - behind, at)
+        under = [x for x in spans if x[0] < stop and x[1] > start]
+        whole = start == max(k * segment - behind, 0) and stop == min((k + 1) * segment + ahead, total)
+        return k, start, held[start - at : stop - at], [x[0] for x in under], [x[1] for x in under], [x[2] for x in under], whole
+
+    for text, pages in run:
+        stop = place + len(text)
+        spans.append((place, stop, pages))
+        parts.append(text + separator if stop < total else text)
+        place += len(parts[-1])
+        if place < (k + 1) * segment + ahead:
+            continue
+        held, parts = held + "".join(parts), []
+        while place >= (k + 1) * segment + ahead:
+            yield cut((k + 1) * segment + ahead)
+            k += 1
+        if (keep := k * segment - behind) > at:
+            held, at, spans = held[keep - at :], keep, [x for x in spans if x[1] > keep]
+    held += "".join(parts)
+    while k * segment - behind < place and k * segment < total:
+        yield cut(min((k + 1) * segment + ahead, place))
+        k += 1
+
+
+def _columns(slices: DataFrame, segment: int, size: int) -> DataFrame:
+    before = F.least(F.lit(ends(size)[0]).cast("long"), F.col("k") * segment).cast("int")
+    part = lambda start, n: F.substring("slice", start, n)
+    return slices.select("source", "k", part(before + 1, F.lit(segment)).alias("text"), part(F.lit(1), before).alias("before"), part(before + 1 + segment, F.length("slice")).alias("after"), "starts", "stops", "pages")
+
+
+def slices_of_documents(documents: DataFrame, segment: int = SEGMENT, size: int = CHUNK_SIZE) -> DataFrame:
+    """source, k, text, before, after, starts, stops, pages from documents (source, text, starts, stops, pages): segments with the
+    ends of their neighbours and the blocks beneath. No shuffle."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, text, starts, stops, pages in batch[["source", "text", "starts", "stops", "pages"]].itertuples(index=False):
+                behind, ahead = ends(size)
+                rows = []
+                for k in range(-(-len(text) // segment)):
+                    start, stop = max(0, k * segment - behind), min(len(text), (k + 1) * segment + ahead)
+                    under = [i for i in range(len(starts)) if starts[i] < stop and stops[i] > start]
+                    rows.append((source, k, start, text[start:stop], [int(starts[i]) for i in under], [int(stops[i]) for i in under], [pages[i] for i in under]))
+                yield pd.DataFrame(rows, columns=["source", "k", "begin", "slice", "starts", "stops", "pages"])
+
+    made = work_table(documents.select("source", "text", "starts", "stops", "pages").mapInPandas(cut, SLICE), "slices")
+    return _columns(made, segment, size)
+
+
+def segments_of_blocks(blocks: DataFrame, separator: str = PAGE_SEPARATOR, segment: int = SEGMENT, size: int = CHUNK_SIZE) -> DataFrame:
+    """The same from blocks (source, block_no, text, and pages if there are any), whose documents are their texts joined by the
+    separator; blank blocks are left out. Blocks may be longer than a segment. Sources without a name are left out."""
+    kept = blocks.where(~is_blank(F.col("text")) & F.col("source").isNotNull())
+    kept = kept.select("source", "block_no", F.col("pages") if "pages" in blocks.columns else F.lit(None).cast("array<int>").alias("pages"), "text", F.floor(F.col("block_no") / BUCKET).alias("_bucket"))
+    sums = kept.groupBy("source", "_bucket").agg(F.sum(F.length("text").cast("long") + len(separator)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_size")
+    total = F.sum("_size").over(Window.partitionBy("source")) - len(separator)
+    runs = sums.select("source", "_bucket", before.alias("_at"), total.alias("_total")).withColumn("_run", F.floor(F.col("_at") / (RUN * segment)))
+    runs = runs.withColumn("_begin", F.min("_at").over(Window.partitionBy("source", "_run"))).drop("_at")
+    # one row a bucket of blocks: small enough to go to every task
+    dealt = kept.join(work_table(runs, "runs"), ["source", "_bucket"])
+    dealt = dealt.repartition("source", "_run").sortWithinPartitions("source", "_run", "block_no")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)))
+        for (source, _, begin, total), run in groupby(rows, key=lambda row: row[:4]):
+            for found in _slices(((text, pages) for *_, text, pages in run), begin, total, separator, segment, size):
+                yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, (source, *found)))], schema=kinds)
+
+    kinds = pa.schema([("source", pa.string()), ("k", pa.int64()), ("begin", pa.int64()), ("slice", pa.string()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64())), ("pages", pa.list_(pa.list_(pa.int32()))), ("whole", pa.bool_())])
+    made = work_table(dealt.select("source", "_run", "_begin", "_total", "text", "pages").mapInArrow(cut, f"{SLICE}, whole boolean"), "slices")
+    listed = F.array_sort(F.collect_list(F.struct("begin", "slice", "starts", "stops", "pages")))
+    parted = made.where("not whole").groupBy("source", "k").agg(listed.alias("_l"))
+    of = lambda name: F.transform("_l", lambda x: x[name])
+    parted = parted.select("source", "k", F.array_join(of("slice"), "").alias("slice"), *(F.flatten(of(name)).alias(name) for name in ("starts", "stops", "pages")))
+    names = ["source", "k", "slice", "starts", "stops", "pages"]
+    return _columns(made.where("whole").select(names).unionByName(work_table(parted, "parted").select(names)), segment, size)
 
 
 def placed_by(rows: DataFrame, order: list[str], bucket: F.Column, size: F.Column, out: str) -> DataFrame:
@@ -69,31 +151,32 @@ def placed_by(rows: DataFrame, order: list[str], bucket: F.Column, size: F.Colum
 
 
 def with_neighbours(segments: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
-    """Adds before and after, the ends of the neighbouring segments (null where there is none), and odd: whether an odd
-    number of line ends stands right before `before`."""
-    behind, ahead = 2 * size + 2, 3 * size + 2
-    segments = segments.withColumn("_n", F.length("text"))
-    prefix = F.substring("text", F.lit(1), F.greatest(F.col("_n") - behind, F.lit(0)))
-    ends = lambda text: F.length(text) - F.length(F.rtrim(text, F.lit("\n")))
-    none = F.lit(None).cast("string")
-    # line ends that run up to the segment's end (_ends) and up to where `before` begins (_odd); all: nothing else stands there
-    marks = F.struct(ends(F.col("text")).alias("ends"), (ends(F.col("text")) == F.col("_n")).alias("all"), ends(prefix).alias("odd"), (ends(prefix) == F.length(prefix)).alias("odd_all"))
-    own = segments.select("source", "k", "text", none.alias("before"), none.alias("after"), F.lit(None).cast("struct<ends:int,all:boolean,odd:int,odd_all:boolean>").alias("_last"))
-    to_next = segments.select("source", F.col("k") + 1, none, F.right("text", F.lit(behind)), none, marks)
-    to_last = segments.select("source", F.col("k") - 1, none, none, F.left("text", F.lit(ahead + 1)), F.lit(None).cast("struct<ends:int,all:boolean,odd:int,odd_all:boolean>"))
-    met = own.union(to_next).union(to_last).groupBy("source", "k").agg(F.max("text").alias("text"), F.max("before").alias("before"), F.max("after").alias("after"), F.max("_last").alias("_last"))
-    met = work_table(met.where("text is not null"), "segments")
+    """Adds before and after, the ends of the neighbouring segments (null where there is none) unless they are there, and odd:
+    whether an odd number of line ends stands right before `before`."""
+    behind, ahead = ends(size)
+    if "before" not in segments.columns:
+        none = F.lit(None).cast("string")
+        own = segments.select("source", "k", "text", none.alias("before"), none.alias("after"))
+        to_next = segments.select("source", F.col("k") + 1, none, F.right("text", F.lit(behind)), none)
+        to_last = segments.select("source", F.col("k") - 1, none, none, F.left("text", F.lit(ahead)))
+        met = own.union(to_next).union(to_last).groupBy("source", "k").agg(F.max("text").alias("text"), F.max("before").alias("before"), F.max("after").alias("after"))
+        segments = work_table(met.where("text is not null"), "segments")
+    prefix = F.substring("text", F.lit(1), F.greatest(F.length("text") - behind, F.lit(0)))
+    line_ends = lambda text: F.length(text) - F.length(F.rtrim(text, F.lit("\n")))
+    # of the last segment: line ends that run up to its end (ends) and up to where `before` begins (odd); all: nothing else stands there
+    marks = segments.select("source", (F.col("k") + 1).alias("k"), line_ends(F.col("text")).alias("ends"), (line_ends(F.col("text")) == F.length("text")).alias("all"), line_ends(prefix).alias("odd"), (line_ends(prefix) == F.length(prefix)).alias("odd_all"))
+    marks = work_table(marks.where("ends > 0 or odd > 0 or odd_all"), "marks")
     # how many line ends stand right before a segment: those of the last one, or, where that is nothing else, of the one
     # before a whole island of such (whole segments are even and don't count)
-    short = met.select("source", (F.col("k") - 1).alias("k"), F.col("_last.ends").alias("ends"), F.col("_last.all").alias("all")).where("all or ends > 0")
+    short = marks.select("source", (F.col("k") - 1).alias("k"), "ends", "all").where("all or ends > 0")
     islands = short.where("all").withColumn("_first", F.col("k") - F.row_number().over(Window.partitionBy("source").orderBy("k")) + 1)
     reach = islands.select("source", "k", "_first", F.min("k").over(Window.partitionBy("source", "_first")).alias("_from"))
     reach = reach.join(short.where("not all").select("source", (F.col("k") + 1).alias("_from"), F.col("ends").alias("_reach")), ["source", "_from"], "left").select("source", "k", F.coalesce("_reach", F.lit(0)).alias("_reach"))
     # at the start of segment k - 1: the ends of k - 2, through an island if that is all line ends
     start = short.where("not all").select("source", (F.col("k") + 2).alias("k"), F.col("ends").alias("_reach")).unionByName(reach.select("source", (F.col("k") + 2).alias("k"), "_reach"))
-    joined = met.join(start, ["source", "k"], "left")
-    odd = (F.col("_last.odd") + F.when(F.col("_last.odd_all"), F.coalesce("_reach", F.lit(0))).otherwise(0)) % 2 == 1
-    return joined.select("source", "k", "text", "before", "after", F.coalesce(odd, F.lit(False)).alias("odd"))
+    odd = (F.col("odd") + F.when(F.col("odd_all"), F.coalesce("_reach", F.lit(0))).otherwise(0)) % 2 == 1
+    odds = work_table(marks.join(start, ["source", "k"], "left").where(odd).select("source", "k", F.lit(True).alias("odd")), "odd")
+    return segments.join(odds, ["source", "k"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
 
 
 @dataclass
@@ -273,28 +356,48 @@ def entries_of(functions: DataFrame, members: int = FAMILY) -> DataFrame:
     return joined.groupBy("source", "_family").applyInPandas(_told, "source string, k long, entry int")
 
 
+class Sliced:
+    """A segment in its neighbourhood, with the passages that begin in it."""
+
+    def __init__(self, text: str, before: str | None, after: str | None, odd: bool, size: int, overlap: int) -> None:
+        self.whole, self.offset, self.length = f"{before or ''}{text}{after or ''}", len(before or ""), len(text)
+        self.atoms = atoms_of(text, before, after, odd, size, overlap)
+
+    def passages(self, entry: int) -> Iterator[tuple[int, str]]:
+        """Where each begins, from the segment's start, and its text; `entry` is where packing enters."""
+        atoms = self.atoms
+        heads = np.flatnonzero(atoms.runs & (atoms.starts >= 0) & (atoms.starts < self.length)).tolist()
+        if entry >= 0:
+            heads.insert(0, int(np.searchsorted(atoms.starts, entry)))
+        for head in heads:
+            for at in atoms.walk(head, self.length)[0]:
+                raw = self.whole[self.offset + int(atoms.starts[at]) : self.offset + atoms.stop_of(at)]
+                if passage := raw.strip():
+                    yield int(atoms.starts[at]) + len(raw) - len(raw.lstrip()), passage
+
+
+def entered(near: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, members: int = FAMILY) -> DataFrame:
+    """Adds entry to segments with their neighbours."""
+    entries = entries_of(work_table(_functions(near, size, overlap), "functions"), members)
+    return near.join(work_table(entries, "entries"), ["source", "k"])
+
+
+def numbered(passages: DataFrame) -> DataFrame:
+    """source, k, first_ix from passages (source, k): the number of the first passage that begins in a segment."""
+    counts = passages.groupBy("source", "k").agg(F.count("*").alias("n"))
+    return placed_by(counts, ["k"], F.floor(F.col("k") / BUCKET), F.col("n"), "first_ix").select("source", "k", "first_ix")
+
+
 def passages_of(segments: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, segment: int = SEGMENT, members: int = FAMILY) -> DataFrame:
     """source, chunk_ix, start, text from segments (source, k, text): a document's passages in order, and where in the
     document each begins."""
-    near = work_table(with_neighbours(segments, size), "neighbours")
-    entries = entries_of(work_table(_functions(near, size, overlap), "functions"), members)
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for source, k, text, before, after, odd, entry in batch[["source", "k", "text", "before", "after", "odd", "entry"]].itertuples(index=False):
-                atoms, offset = atoms_of(text, before, after, odd, size, overlap), len(before or "")
-                whole, rows = f"{before or ''}{text}{after or ''}", []
-                heads = np.flatnonzero(atoms.runs & (atoms.starts >= 0) & (atoms.starts < len(text))).tolist()
-                if entry >= 0:
-                    heads.insert(0, int(np.searchsorted(atoms.starts, entry)))
-                for head in heads:
-                    for at in atoms.walk(head, len(text))[0]:
-                        raw = whole[offset + int(atoms.starts[at]) : offset + atoms.stop_of(at)]
-                        if passage := raw.strip():
-                            rows.append((source, k, len(rows), k * segment + int(atoms.starts[at]) + len(raw) - len(raw.lstrip()), passage))
-                yield pd.DataFrame(rows, columns=["source", "k", "i", "start", "text"])
-
-    found = near.join(entries, ["source", "k"]).select("source", "k", "text", "before", "after", "odd", "entry").mapInPandas(written, "source string, k long, i int, start long, text string")
-    found = work_table(found, "passages")
-    numbers = placed_by(found.groupBy("source", "k").agg(F.count("*").alias("n")), ["k"], F.floor(F.col("k") / BUCKET), F.col("n"), "before").select("source", "k", "before")
-    return found.join(numbers, ["source", "k"]).select("source", (F.col("before") + F.col("i")).alias("chunk_ix"), "start", "text")
+                found = Sliced(text, before, after, odd, size, overlap).passages(entry)
+                yield pd.DataFrame([(source, k, i, k * segment + at, passage) for i, (at, passage) in enumerate(found)], columns=["source", "k", "i", "start", "text"])
+
+    near = entered(with_neighbours(segments, size), size, overlap, members)
+    found = work_table(near.select("source", "k", "text", "before", "after", "odd", "entry").mapInPandas(written, "source string, k long, i int, start long, text string"), "passages")
+    return found.join(numbered(found), ["source", "k"]).select("source", (F.col("first_ix") + F.col("i")).alias("chunk_ix"), "start", "text")

@@ -78,3 +78,22 @@ def test_a_document_of_two_megabytes(spark):
     one = spark.createDataFrame([("big", text)], "source string, text string").withColumn("offsets", F.array(F.struct(F.lit(0).alias("s"), F.length("text").alias("e"), F.array(F.lit(1)).alias("pages"))))
     found = chunk.chunks_of(one).select("chunk_ix", "text", "pages").collect()
     assert sorted((x.chunk_ix, x.text) for x in found) == [*enumerate(split_text(text))] and {x.pages for x in found} == {"1"}
+
+
+def test_work_tables_of_a_long_document_hold_its_text_once(spark, monkeypatch):
+    """Repeated lines and passages: whatever is found and looked for, only segments are written as texts."""
+    r, written = random.Random(4), []
+    line = " ".join(f"common{i}" for i in range(60))
+    rows = [("s", j, [j], line if j % 9 == 0 else " ".join(f"{r.randrange(10**9)}" for _ in range(r.randint(50, 400)))) for j in range(150)]
+    blocks = spark.createDataFrame(rows, "source string, block_no int, pages array<int>, text string")
+    plain = {tuple(map(str, x)) for x in chunk.chunks_of_blocks(blocks, segment=1 << 30).collect()}
+
+    def kept(df, name, write=chunk.work_table):
+        table = write(df, name)
+        written.append((name, table.select(*(F.sum(F.length(c)).cast("long") for c, kind in df.dtypes if kind == "string" and c != "source")).first() if any(kind == "string" and c != "source" for c, kind in df.dtypes) else (0,)))
+        return table
+
+    for module in (chunk, occurrences, segments):
+        monkeypatch.setattr(module, "work_table", kept)
+    assert {tuple(map(str, x)) for x in chunk.chunks_of_blocks(blocks, segment=1 << 14).collect()} == plain
+    assert sum(n or 0 for _, sums in written for n in sums) < 2 * sum(len(row[3]) for row in rows), written
