@@ -65,6 +65,19 @@ def _word_blocks(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the 64-bit hashes each bit is set."""
+    columns = hashes.view(np.uint8).reshape(-1, 8)
+    if len(hashes) < 256:
+        return np.unpackbits(columns, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
+
+
+def majority(ones: np.ndarray, total: int) -> int:
+    """The bits that are set in over half the hashes."""
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None) -> int:
     """The 64-bit SimHash of a whole text."""
     hashing = xxhash.xxh64_intdigest
@@ -74,16 +87,11 @@ def fingerprint(text: str | None) -> int:
         if len(words) >= SHINGLE:
             hashes = np.array([hashing(b" ".join(x), SEED) for x in zip(words, words[1:], words[2:])], dtype="<u8")
             total += len(hashes)
-            if len(hashes) < 256:
-                ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            else:
-                columns = hashes.view(np.uint8).reshape(-1, 8)
-                for k in range(8):
-                    ones[8 * k : 8 * k + 8] += np.bincount(columns[:, k], minlength=256) @ _BITS
+            ones += ones_of(hashes)
         carry = words[-(SHINGLE - 1) :]
     if not total:
         return hashing(b" ".join(carry), SEED) if carry else 0
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+    return majority(ones, total)
 
 
 @F.pandas_udf(LongType())
@@ -92,11 +100,16 @@ def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
 
+def relative_to_origin(prints: np.ndarray) -> np.ndarray:
+    """64 coordinates of every fingerprint: whether the origin's neighbours are nearer than the origin is."""
+    return np.bitwise_count(prints[:, None] ^ NEIGHBOURS) < np.bitwise_count(prints ^ ORIGIN)[:, None]
+
+
 def pivot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of fingerprints: one row for each pair of groups, with the join key and the packed scattered distances."""
     for batch in batches:
         prints = batch.column(0).to_numpy().view(np.uint64)
-        near = np.bitwise_count(prints[:, None] ^ NEIGHBOURS) < np.bitwise_count(prints ^ ORIGIN)[:, None]
+        near = relative_to_origin(prints)
         relative = np.packbits(near, axis=1, bitorder="little").view("<u2").astype(np.int64)
         far = np.bitwise_count(prints[:, None] ^ SCATTERED).astype(np.uint8).view("<i8")
         n = len(prints)
